@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, dartminhash, decontaminate, fingerprint, language, quality, toxicity, urlfilter, warczip
+from millrace.llm import bpe, dartminhash, decontaminate, fingerprint, language, licenses, quality, toxicity, urlfilter, warczip
 from millrace.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
