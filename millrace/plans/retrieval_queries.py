@@ -1 +1,321 @@
-"""Queries."""
+"""Queries over retrieval: BM25, dense, sparse and token-level tours, fusion, pools."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.functions import text
+from millrace.operators import fusion, geo, lexical, vector
+from millrace.plans.registry import Tables, query
+
+_LANGS = "['en', 'de', 'fr', 'es'][item_id % 4 + 1]"
+_TOK = "regexp_extract_all(lower({0}), '[0-9a-zа-яё]+')"
+
+#: BM25 over the documents: title is the first line, params source and language, desc the whole text.
+_BM25 = f"""d AS (SELECT doc_id, lang, {_TOK.format("split_part(text, chr(10), 1)")} AS title, {_TOK.format("source || ' ' || lang")} AS params, {_TOK.format("text")} AS descr FROM documents),
+f AS (SELECT doc_id, 'title' AS field, title AS toks FROM d UNION ALL SELECT doc_id, 'params', params FROM d UNION ALL SELECT doc_id, 'desc', descr FROM d),
+st AS (SELECT field, count(*) AS n, greatest(avg(len(toks)), 1e-9) AS mean FROM f GROUP BY field),
+tf AS (SELECT field, doc_id, len, term, count(*) AS tf FROM (SELECT field, doc_id, len(toks) AS len, unnest(toks) AS term FROM f) GROUP BY ALL),
+dfr AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
+post AS (SELECT field, term, doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS w FROM tf JOIN dfr USING (field, term) JOIN st USING (field)),
+q AS (SELECT item_id AS query_id, {_LANGS} AS lang, unnest(list_distinct({_TOK.format("text")})) AS term FROM benchmark),
+qs AS (SELECT DISTINCT query_id, lang FROM q),
+sc AS (SELECT query_id, doc_id AS item_id, coalesce(sum(w) FILTER (field = 'title'), 0) AS t, coalesce(sum(w) FILTER (field = 'params'), 0) AS p, coalesce(sum(w) FILTER (field = 'desc'), 0) AS d FROM q JOIN post USING (term) GROUP BY ALL),
+bm AS (SELECT query_id, item_id, t, p, d, t + 0.5 * p + d AS score FROM sc),
+gl AS (SELECT * FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM bm WHERE score > 0) WHERE rank <= 100),
+loc AS (SELECT * FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM bm JOIN qs USING (query_id) JOIN documents ON item_id = doc_id AND documents.lang = qs.lang WHERE score > 0) WHERE rank <= 50)"""
+
+
+def doc_items(t: Tables) -> DataFrame:
+    return t.documents.select(
+        F.col("doc_id").alias("item_id"), F.col("lang").alias("location"), text.tokens(F.substring_index("text", "\n", 1)).alias("title"),
+        text.tokens(F.concat_ws(" ", "source", "lang")).alias("params"), text.tokens("text").alias("desc"),
+    )
+
+
+def asked(t: Tables) -> DataFrame:
+    lang = F.element_at(F.array(*(F.lit(x) for x in ("en", "de", "fr", "es"))), (F.col("item_id") % 4 + 1).cast("int"))
+    return t.benchmark.select(F.col("item_id").alias("query_id"), lang.alias("location"), text.tokens("text").alias("tokens"))
+
+
+def bm25_scores(t: Tables) -> DataFrame:
+    return lexical.combine_fields(lexical.score_fields(asked(t), lexical.fit_bm25(doc_items(t))))
+
+
+def bm25_tours(t: Tables) -> tuple[DataFrame, DataFrame]:
+    items = t.documents.select(F.col("doc_id").alias("item_id"), F.col("lang").alias("location"))
+    return lexical.lexical_tours(bm25_scores(t), asked(t), items, 50, 100)
+
+
+def _ranked(df: DataFrame, digits: int = 5) -> DataFrame:
+    return df.select("query_id", "item_id", F.round("score", digits).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("bm25_field_scores", f"WITH {_BM25} SELECT query_id, item_id, round(t, 5) AS bm25_title, round(p, 5) AS bm25_params, round(d, 5) AS bm25_desc, round(score, 5) AS bm25f_total FROM bm")
+def bm25_field_scores(t: Tables) -> DataFrame:
+    s = bm25_scores(t)
+    return s.select("query_id", "item_id", *(F.round(c, 5).alias(c) for c in ("bm25_title", "bm25_params", "bm25_desc")), F.round("score", 5).alias("bm25f_total"))
+
+
+@query("bm25f_topk_global", f"WITH {_BM25} SELECT query_id, item_id, round(score, 5) AS score, rank FROM gl")
+def bm25f_topk_global(t: Tables) -> DataFrame:
+    return _ranked(bm25_tours(t)[1])
+
+
+@query("bm25f_topk_local", f"WITH {_BM25} SELECT query_id, item_id, round(score, 5) AS score, rank FROM loc")
+def bm25f_topk_local(t: Tables) -> DataFrame:
+    return _ranked(bm25_tours(t)[0])
+
+
+@query(
+    "lexical_candidates",
+    f"""WITH {_BM25}, pairs AS (SELECT query_id, item_id FROM gl UNION SELECT query_id, item_id FROM loc UNION SELECT DISTINCT query_id, query_id FROM q)
+        SELECT query_id, item_id, round(coalesce(t, 0), 5) AS bm25_title, round(coalesce(p, 0), 5) AS bm25_params, round(coalesce(d, 0), 5) AS bm25_desc FROM pairs LEFT JOIN bm USING (query_id, item_id)""",
+)
+def lexical_candidates(t: Tables) -> DataFrame:
+    scores, (local, glob) = bm25_scores(t), bm25_tours(t)
+    extra = asked(t).select("query_id", F.col("query_id").alias("item_id"))
+    c = lexical.lexical_candidates(scores, local, glob, extra)
+    return c.select("query_id", "item_id", *(F.round(x, 5).alias(x) for x in ("bm25_title", "bm25_params", "bm25_desc")))
+
+
+_FUSED = """u AS (SELECT query_id, item_id, rank, 0 AS tour FROM loc UNION ALL SELECT query_id, item_id, rank, 1 FROM gl),
+w AS (SELECT query_id, item_id, min(rank) FILTER (tour = 0) AS r0, min(rank) FILTER (tour = 1) AS r1 FROM u GROUP BY ALL),
+s AS (SELECT query_id, item_id, coalesce(2.0 / (200.0 + r0), 0) + coalesce(1.0 / (200.0 + r1), 0) AS score, coalesce(r0, r1 + 1000000000000) AS first FROM w)"""
+
+
+@query(
+    "rrf_bm25_fused",
+    f"WITH {_BM25}, {_FUSED} SELECT * FROM (SELECT query_id, item_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, item_id) AS rank FROM s) WHERE rank <= 50",
+)
+def rrf_bm25_fused(t: Tables) -> DataFrame:
+    local, glob = bm25_tours(t)
+    return _ranked(fusion.rrf_fuse({"local": local, "global": glob}, {"local": 2.0}, 200, 50), 9)
+
+
+# ---- vectors -------------------------------------------------------------------------------------------------------------
+
+_DENSE = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+qv AS (SELECT * FROM e WHERE vec_id % 100 = 0),
+ds AS (SELECT qv.vec_id AS query_id, e.vec_id AS item_id, qv.label AS ql, e.label AS il, list_dot_product(qv.v, e.v) AS score FROM qv, e),
+dg AS (SELECT * FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM ds) WHERE rank <= 60),
+dl AS (SELECT * FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM ds WHERE ql IS NOT DISTINCT FROM il) WHERE rank <= 20)"""
+
+
+def vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(queries: every id that 100 divides, all items)."""
+    e = t.embeddings.select("vec_id", F.col("embedding").alias("vec"), F.col("label").alias("location"))
+    return e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "item_id")
+
+
+@query("dense_topk_global", f"WITH {_DENSE} SELECT query_id, item_id, round(score, 5) AS score, rank FROM dg")
+def dense_topk_global(t: Tables) -> DataFrame:
+    return _ranked(vector.dense_rankings(*vectors(t), 60, 20)[1])
+
+
+@query("dense_topk_local", f"WITH {_DENSE} SELECT query_id, item_id, round(score, 5) AS score, rank FROM dl")
+def dense_topk_local(t: Tables) -> DataFrame:
+    return _ranked(vector.dense_rankings(*vectors(t), 60, 20)[0])
+
+
+@query("dense_pairs", f"WITH {_DENSE} SELECT query_id, item_id, round(score, 5) AS dense_cos FROM ds WHERE ql = il")
+def dense_pairs(t: Tables) -> DataFrame:
+    q, d = vectors(t)
+    pairs = q.join(d.select("item_id", "location"), "location").select("query_id", "item_id")
+    return vector.pair_dense(pairs, q, d).select("query_id", "item_id", F.round("dense_cos", 5).alias("dense_cos"))
+
+
+_SPARSE = f"""dw AS (SELECT doc_id AS item_id, lang, term, count(*) AS w FROM (SELECT doc_id, lang, unnest({_TOK.format("text")}) AS term FROM documents) GROUP BY ALL),
+qw AS (SELECT item_id AS query_id, {_LANGS} AS ql, term, count(*) AS w FROM (SELECT item_id, unnest({_TOK.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+ss AS (SELECT query_id, ql, item_id, lang, sum(qw.w * dw.w)::DOUBLE AS score FROM qw JOIN dw USING (term) GROUP BY ALL)"""
+
+
+def weights(df: DataFrame, key: str, column: str = "tokens") -> DataFrame:
+    """Token counts of each row as a map."""
+    counted = df.select(key, F.explode(column).alias("term")).groupBy(key, "term").agg(F.count("*").cast("float").alias("w"))
+    return counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"))
+
+
+def sparse_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    q = asked(t)
+    d = t.documents.select(F.col("doc_id").alias("item_id"), F.col("lang").alias("location"), text.tokens("text").alias("tokens"))
+    return weights(q, "query_id").join(q.select("query_id", "location"), "query_id"), weights(d, "item_id").join(d.select("item_id", "location"), "item_id")
+
+
+@query(
+    "sparse_topk",
+    f"""WITH {_SPARSE} SELECT * FROM (SELECT query_id, item_id, score, 'global' AS scope, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ss) WHERE rank <= 30
+        UNION ALL SELECT * FROM (SELECT query_id, item_id, score, 'local' AS scope, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ss WHERE ql = lang) WHERE rank <= 10""",
+)
+def sparse_topk(t: Tables) -> DataFrame:
+    local, glob = vector.sparse_tour(*sparse_sides(t), 30, 10)
+    both = glob.withColumn("scope", F.lit("global")).unionByName(local.withColumn("scope", F.lit("local")))
+    return both.select("query_id", "item_id", "score", "scope", F.col("rank").cast("bigint").alias("rank"))
+
+
+_TOKENS = """tk AS (SELECT vec_id // 4 AS g, list(embedding::DOUBLE[] ORDER BY vec_id) AS m FROM embeddings GROUP BY ALL),
+pr AS (SELECT a.g AS query_id, b.g AS item_id, a.m AS qm, b.m AS im FROM tk a JOIN tk b ON a.g % 25 = b.g % 25)"""
+
+
+def token_sets(t: Tables) -> DataFrame:
+    g = F.floor(F.col("vec_id") / 4).cast("bigint")
+    return t.embeddings.groupBy(g.alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("tokens"))
+
+
+@query("maxsim_pairs", f"WITH {_TOKENS} SELECT query_id, item_id, round(list_sum([list_max([list_dot_product(x, y) for y in im]) for x in qm]), 5) AS colbert_maxsim FROM pr")
+def maxsim_pairs(t: Tables) -> DataFrame:
+    sets = token_sets(t)
+    q, d = sets.withColumnRenamed("g", "query_id"), sets.withColumnRenamed("g", "item_id")
+    pairs = q.select("query_id", (F.col("query_id") % 25).alias("k")).join(d.select("item_id", (F.col("item_id") % 25).alias("k")), "k").select("query_id", "item_id")
+    return vector.pair_maxsim(pairs, q, d).select("query_id", "item_id", F.round("colbert_maxsim", 5).alias("colbert_maxsim"))
+
+
+@query("maxsim_expression", f"WITH {_TOKENS} SELECT query_id, item_id, round(list_sum([list_max([list_dot_product(x, y) for y in im]) for x in qm]), 5) AS s FROM pr")
+def maxsim_expression(t: Tables) -> DataFrame:
+    sets = token_sets(t).withColumn("k", F.col("g") % 25)
+    pairs = sets.select("k", F.col("g").alias("query_id"), F.col("tokens").alias("q")).join(sets.select("k", F.col("g").alias("item_id"), F.col("tokens").alias("d")), "k")
+    return pairs.select("query_id", "item_id", F.round(vector.maxsim("q", "d"), 5).alias("s"))
+
+
+@query(
+    "microcat_centroid_cos",
+    """WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+       m AS (SELECT label, i, avg(v) AS v FROM x GROUP BY ALL), n AS (SELECT label, sqrt(sum(v * v)) AS norm FROM m GROUP BY ALL)
+       SELECT vec_id, x.label, round(sum(x.v * m.v / CASE WHEN norm > 0 THEN norm ELSE 1 END), 5) AS cos FROM x JOIN m USING (label, i) JOIN n USING (label) GROUP BY ALL""",
+)
+def microcat_centroid_cos(t: Tables) -> DataFrame:
+    e = t.embeddings.withColumnRenamed("embedding", "vec")
+    c = vector.group_centroids(e, "label")
+    return e.join(c, "label").select("vec_id", "label", F.round(vector.dot("vec", "centroid"), 5).alias("cos"))
+
+
+# ---- fusion and pools ------------------------------------------------------------------------------------------------------
+
+_HAV = "2 * 6371.0088 * asin(sqrt(least(pow(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin((radians({3}) - radians({1})) / 2), 2), 1.0)))"
+_NEAR = f"""xy AS (SELECT vec_id, CASE WHEN vec_id % 13 = 5 THEN NULL ELSE 40 + (vec_id % 97) * 0.1 END AS lat, 10 + (vec_id % 89) * 0.1 AS lon FROM embeddings),
+nr AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM dg JOIN xy a ON a.vec_id = query_id JOIN xy b ON b.vec_id = item_id WHERE {_HAV.format("a.lat", "a.lon", "b.lat", "b.lon")} < 300)"""
+
+
+def _places(t: Tables) -> DataFrame:
+    lat = F.when(F.col("vec_id") % 13 != 5, F.lit(40.0) + (F.col("vec_id") % 97) * F.lit(0.1))
+    return t.embeddings.select("vec_id", lat.alias("lat"), (F.lit(10.0) + (F.col("vec_id") % 89) * F.lit(0.1)).alias("lon"))
+
+
+def near_list(t: Tables, glob: DataFrame) -> DataFrame:
+    xy = _places(t)
+    q = xy.select(F.col("vec_id").alias("query_id"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
+    i = xy.select(F.col("vec_id").alias("item_id"), F.col("lat").alias("item_latitude"), F.col("lon").alias("item_longitude"))
+    return geo.nearby(glob, q, i, 300)
+
+
+@query("near_filter", f"WITH {_DENSE}, {_NEAR} SELECT query_id, item_id, rank FROM nr")
+def near_filter(t: Tables) -> DataFrame:
+    return near_list(t, vector.dense_rankings(*vectors(t), 60, 20)[1]).select("query_id", "item_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+_MERGED = """u AS (SELECT query_id, item_id, rank, 0 AS tour FROM dl UNION ALL SELECT query_id, item_id, rank, 1 FROM dg UNION ALL SELECT query_id, item_id, rank, 2 FROM nr),
+w AS (SELECT query_id, item_id, min(rank) FILTER (tour = 0) AS r0, min(rank) FILTER (tour = 1) AS r1, min(rank) FILTER (tour = 2) AS r2 FROM u GROUP BY ALL),
+s AS (SELECT query_id, item_id, coalesce(1.0 / (60.0 + r0), 0) + coalesce(1.0 / (60.0 + r1), 0) + coalesce(1.5 / (60.0 + r2), 0) AS score, coalesce(r0, r1 + 1000000000000, r2 + 2000000000000) AS first FROM w),
+mg AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, item_id) AS rank FROM s)"""
+
+
+def merged(t: Tables) -> DataFrame:
+    local, glob = vector.dense_rankings(*vectors(t), 60, 20)
+    return fusion.merge_pool(local, glob, near_list(t, glob), 60, 1.5)
+
+
+@query("merge_pool_near", f"WITH {_DENSE}, {_NEAR}, {_MERGED} SELECT query_id, item_id, round(score, 9) AS score, rank FROM mg")
+def merge_pool_near(t: Tables) -> DataFrame:
+    return _ranked(merged(t), 9)
+
+
+@query(
+    "pool_rank_features",
+    f"""WITH {_DENSE}, {_NEAR}, {_MERGED},
+        pool AS (SELECT query_id, item_id FROM mg WHERE rank <= 40 UNION SELECT query_id, item_id FROM ds WHERE item_id % 100 = 0),
+        x AS (SELECT query_id, item_id, coalesce(mg.rank - 1, 1000) AS pool_rank, ds.score AS v FROM pool LEFT JOIN mg USING (query_id, item_id) JOIN ds USING (query_id, item_id))
+        SELECT query_id, item_id, pool_rank, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, item_id) AS dense_cos_rank_in_pool, round(v - max(v) OVER (PARTITION BY query_id), 5) AS dense_cos_minus_max FROM x""",
+)
+def pool_rank_features(t: Tables) -> DataFrame:
+    from millrace.operators.features import add_pool_features
+
+    q, d = vectors(t)
+    m = merged(t)
+    extra = q.select("query_id").crossJoin(F.broadcast(q.select(F.col("query_id").alias("item_id"))))
+    pairs = vector.pair_dense(fusion.pool_pairs(m, 40, extra), q, d)
+    out = add_pool_features(pairs, m, 1000, ["dense_cos"])
+    return out.select("query_id", "item_id", "pool_rank", F.col("dense_cos_rank_in_pool").cast("bigint").alias("dense_cos_rank_in_pool"), F.round("dense_cos_minus_max", 5).alias("dense_cos_minus_max"))
+
+
+@query(
+    "rrf_fuse",
+    f"""WITH {_DENSE}, {_SPARSE}, b AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ss WHERE query_id % 100 = 0),
+        u AS (SELECT query_id, item_id, rank, 0 AS tour FROM dg UNION ALL SELECT query_id, item_id, rank, 1 FROM dl UNION ALL SELECT query_id, item_id, rank, 2 FROM b WHERE rank <= 30),
+        w AS (SELECT query_id, item_id, min(rank) FILTER (tour = 0) AS r0, min(rank) FILTER (tour = 1) AS r1, min(rank) FILTER (tour = 2) AS r2 FROM u GROUP BY ALL),
+        s AS (SELECT query_id, item_id, coalesce(4.0 / (200.0 + r0), 0) + coalesce(1.0 / (200.0 + r1), 0) + coalesce(2.0 / (200.0 + r2), 0) AS score, coalesce(r0, r1 + 1000000000000, r2 + 2000000000000) AS first FROM w)
+        SELECT query_id, item_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, item_id) AS rank FROM s""",
+)
+def rrf_fuse(t: Tables) -> DataFrame:
+    local, glob = vector.dense_rankings(*vectors(t), 60, 20)
+    q, d = sparse_sides(t)
+    lexical_tour = fusion.top_k(vector.sparse_scores(q.where("query_id % 100 = 0"), d), 30)
+    return _ranked(fusion.rrf_fuse({"dense": glob, "local": local, "sparse": lexical_tour, "none": glob}, {"dense": 4.0, "sparse": 2.0, "none": 0.0}, 200), 9)
+
+
+# ---- geography -------------------------------------------------------------------------------------------------------------
+
+_CXY = "CASE WHEN c_custkey % 11 = 3 THEN NULL ELSE 40 + (c_custkey % 97) * 0.1 END AS lat, 10 + (c_custkey % 89) * 0.1 AS lon"
+_GEO = f"""i AS (SELECT c_custkey AS item_id, CASE WHEN c_nationkey % 5 = 4 THEN NULL ELSE c_nationkey END AS loc, {_CXY} FROM customer),
+h AS (SELECT o_orderkey % 25 AS loc, {_CXY} FROM orders JOIN customer ON o_custkey = c_custkey),
+ic AS (SELECT loc AS location_id, avg(lat) AS lat, avg(lon) AS lon FROM i WHERE loc IS NOT NULL AND lat IS NOT NULL GROUP BY ALL),
+hc AS (SELECT loc AS location_id, avg(lat) AS lat, avg(lon) AS lon FROM h WHERE lat IS NOT NULL GROUP BY ALL)"""
+
+
+def geo_items(t: Tables) -> DataFrame:
+    lat = F.when(F.col("c_custkey") % 11 != 3, F.lit(40.0) + (F.col("c_custkey") % 97) * F.lit(0.1))
+    return t.customer.select(
+        F.col("c_custkey").alias("item_id"), F.when(F.col("c_nationkey") % 5 != 4, F.col("c_nationkey")).cast("bigint").alias("item_location_id"), lat.alias("item_latitude"),
+        (F.lit(10.0) + (F.col("c_custkey") % 89) * F.lit(0.1)).alias("item_longitude"),
+    )
+
+
+def geo_history(t: Tables) -> DataFrame:
+    clicks = t.orders.select(F.col("o_custkey").alias("item_id"), (F.col("o_orderkey") % 25).alias("search_location_id"))
+    return clicks.join(geo_items(t), "item_id")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("location_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+_ROUNDED = "SELECT CAST(location_id AS BIGINT) AS location_id, round(lat, 6) AS lat, round(lon, 6) AS lon"
+
+
+@query("location_centroids", f"WITH {_GEO} {_ROUNDED} FROM ic")
+def location_centroids(t: Tables) -> DataFrame:
+    return _rounded(geo.location_centroids(geo_items(t)))
+
+
+@query("click_centroids", f"WITH {_GEO} {_ROUNDED} FROM hc")
+def click_centroids(t: Tables) -> DataFrame:
+    return _rounded(geo.click_centroids(geo_history(t)))
+
+
+@query(
+    "centroid_precedence",
+    f"WITH {_GEO} SELECT CAST(coalesce(ic.location_id, hc.location_id) AS BIGINT) AS location_id, round(coalesce(ic.lat, hc.lat), 6) AS lat, round(coalesce(ic.lon, hc.lon), 6) AS lon FROM ic FULL JOIN hc ON ic.location_id = hc.location_id",
+)
+def centroid_precedence(t: Tables) -> DataFrame:
+    return _rounded(geo.merged_centroids(geo_items(t), geo_history(t)))
+
+
+@query(
+    "haversine_pairs",
+    f"""WITH {_GEO} SELECT item_id, s_suppkey, round({_HAV.format("i.lat", "i.lon", "45 + s_suppkey % 7", "12 + s_suppkey % 5")}, 5) AS km
+        FROM i JOIN supplier ON s_nationkey = loc""",
+)
+def haversine_pairs(t: Tables) -> DataFrame:
+    joined = geo_items(t).join(t.supplier, F.col("item_location_id") == F.col("s_nationkey"))
+    km = text.haversine_km(F.col("item_latitude"), F.col("item_longitude"), F.lit(45.0) + F.col("s_suppkey") % 7, F.lit(12.0) + F.col("s_suppkey") % 5)
+    return joined.select("item_id", "s_suppkey", F.round(km, 5).alias("km"))
