@@ -7,9 +7,11 @@ element and below a rank that leaves about ``k ln k + 2k`` of them; each dart fa
 earliest (of lowest rank) stays.  Two texts agree on a coordinate with the probability of their weighted Jaccard
 similarity.  Coordinates are joined in bands; candidate pairs are verified by the exact similarity.
 
-Whole exact copies are one node from the start.  Within a bucket, members are compared with leaders instead of all with
-all: one leader in the first round, twice as many in each next one, among those members that no leader has been linked
-with, until none is left.  So a bucket of near copies takes a number of comparisons in proportion to its size, and no
+Whole exact copies are one node from the start.  Within a bucket, all members are first compared with one leader, the
+member that shares most buckets with others (in a group of edited copies the text they come from): comparisons in
+proportion to the bucket's size.  Members that the leader is not linked with are then compared with every other member of
+another class so far, in blocks whose rows never become pairs; they give one link for each class met.  Two members linked
+with their leader are one class already, so this finds all classes that comparing all pairs of all buckets would, and no
 bucket is capped.  Classes are the connected components of the verified links.
 """
 
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +34,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Bands and coordinates in each: a pair at similarity 0.8 meets in some band with probability 0.9993.
 BANDS, ROWS = 24, 6
-#: Different leaders that the bands of one group of near copies choose, at most, in the first round.
-LEADER_ORDERS = 4
+#: Members of a bucket in a block of the second step.
+BLOCK_MEMBERS = 256
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(16)])
 _UNIT = 1.0 / (1 << 53)
@@ -191,37 +195,90 @@ class _Verifier:
         return both.select("a", "b", (shared >= similarity * (F.size("sa") + F.size("sb") - shared)).alias("similar"))
 
 
+def _cell_links(cell: list[tuple], similarity: float) -> Iterator[tuple[bytes, bytes]]:
+    """One link for each left member and class of a right member that it is similar to, of another class than its own.
+
+    A cell's rows are (is_left, node, label, shingles).
+    """
+    left, right = [r for r in cell if r[0]], [r for r in cell if not r[0]]
+    if not left or not right:
+        return
+    names = {label: n for n, label in enumerate(dict.fromkeys(r[2] for r in cell))}
+    labels = np.array([names[r[2]] for r in right])
+    sizes = np.array([len(r[3]) for r in right])
+    owner = np.repeat(np.arange(len(right)), sizes)
+    flat = np.concatenate([r[3] for r in right])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for _, node, label, own in left:
+        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        n = hi - lo
+        shared = np.bincount(owner[_ranges(n) + np.repeat(lo, n)], minlength=len(right))
+        good = np.flatnonzero((shared >= similarity * (len(own) + sizes - shared)) & (labels != names[label]))
+        for k in good[np.unique(labels[good], return_index=True)[1]].tolist():
+            yield node, right[k][1]
+
+
+def _links_of_rest(rest: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` of members left over (``band, node, label, s, xs, ys``) with all members of their buckets.
+
+    Both sides are dealt to the cells of a grid over each bucket, of :data:`BLOCK_MEMBERS` rows a side.
+    """
+    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    x = rest.select("band", part(F.col("xs")).alias("x"), all_of(F.col("ys")).alias("y"), F.lit(True).alias("is_left"), "node", "label", "s")
+    y = others.select("band", all_of(F.col("xs")).alias("x"), part(F.col("ys")).alias("y"), F.lit(False).alias("is_left"), "node", "label", "s")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                keys = zip(*(batch.column(c).to_pylist() for c in ("band", "x", "y", "is_left", "node", "label")), strict=True)
+                column = batch.column("s")
+                values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+                for key, a, b in zip(keys, np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+                    yield (*key, values[a:b])
+
+        found = [link for _, cell in groupby(rows(), key=itemgetter(0, 1, 2)) for link in _cell_links([r[3:] for r in cell], similarity)]
+        found = list(dict.fromkeys((min(f), max(f)) for f in found))
+        yield pa.record_batch([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    cells = x.unionByName(y).repartition(F.col("band"), F.col("x"), F.col("y")).sortWithinPartitions("band", "x", "y")
+    return cells.mapInArrow(compare, "a binary, b binary")
+
+
 def near_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
-    """Verified links ``a, b`` between nodes (``node, doc_id, bands``), or None where no two nodes share a bucket."""
+    """Verified links ``a, b`` between nodes (``node, doc_id, bands``), or None where no two nodes share a bucket.
+
+    Their connected components are those of all similar pairs that share a bucket.
+    """
     placed = nodes.where(F.col("doc_id").isNotNull()).select("node", F.explode("bands").alias("band"))
-    shared = materialize(placed.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y")).where(F.col("x") != F.col("y")).select("band"), "shared")
+    counted = placed.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("n"))
+    shared = materialize(counted.where(F.col("x") != F.col("y")).select("band", "n"), "shared")
     members = materialize(placed.join(shared, "band"), "members")
     if not members.limit(1).count():
         return None
-    verify, remaining, tested, number = _Verifier(docs, nodes, members), members, None, 0
-    while True:
-        order = F.xxhash64("node", F.pmod("band", F.lit(LEADER_ORDERS)), F.lit(number))
-        group = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2**number))
-        leaders = materialize(
-            remaining.groupBy("band", group.alias("g")).agg(F.min_by("node", order).alias("leader")).select("band", "leader"), "leaders"
-        )
-        compared = members.join(leaders, "band").where(F.col("node") != F.col("leader"))
-        pairs = compared.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        checked = materialize(verify(materialize(pairs, "pairs"), similarity), "checked")
-        tested = checked if tested is None else tested.unionByName(checked)
-        linked = tested.where("similar")
-        # what is left: neither a leader of its bucket nor linked with one
-        met = remaining.join(leaders, "band").where(F.col("node") != F.col("leader")).select(
-            "band", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
-        )
-        done = met.join(linked.select("a", "b"), ["a", "b"]).select("band", "node").union(leaders.select("band", F.col("leader").alias("node")))
-        left = remaining.join(done.distinct(), ["band", "node"], "left_anti")
-        remaining = materialize(left, "remaining")
-        if not remaining.limit(1).count():
-            return linked.select("a", "b")
-        number += 1
+    verify = _Verifier(docs, nodes, members)
+    central = materialize(members.groupBy("node").agg(F.sum("n").alias("weight")), "central")
+    leaders = members.join(central, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("best")).select("band", F.col("best.node").alias("leader"))
+    leaders = materialize(leaders, "leaders")
+    compared = members.join(leaders, "band").where(F.col("node") != F.col("leader"))
+    compared = compared.select("band", "node", "n", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    checked = materialize(verify(materialize(compared.select("a", "b").distinct(), "pairs"), similarity), "checked")
+    links = checked.where("similar").select("a", "b")
+    # the rest: not linked with its leader, in a bucket of three or more that holds more than one class
+    unlinked = compared.where("n > 2").join(checked.where("NOT similar"), ["a", "b"]).select("band", "node")
+    labels = components(links)
+    labelled = members.where("n > 2").join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.first("n").alias("n")).where(F.col("p") != F.col("q"))
+    rest = unlinked.join(labelled.select("band", "node", "label"), ["band", "node"])
+    sizes = mixed.join(rest.groupBy("band").agg(F.count("*").alias("r")), "band")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_MEMBERS).cast("int")
+    sizes = materialize(sizes.select("band", blocks("r").alias("xs"), blocks("n").alias("ys")), "sizes")
+    if not sizes.limit(1).count():
+        return links
+    with_shingles = lambda df: materialize(df.join(sizes, "band"), "side").join(verify.shingles, "node").select("band", "node", "label", "s", "xs", "ys")
+    more = _links_of_rest(with_shingles(rest), with_shingles(labelled.select("band", "node", "label")), similarity)
+    return links.unionByName(materialize(more, "more"))
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
