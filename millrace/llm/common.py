@@ -182,6 +182,19 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+def text_word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`word_spans` of each of the texts that begin at the offsets: a word never spans two of them."""
+    starts, ends = word_spans(raw)
+    if len(starts):
+        inner = offsets[1:-1]
+        at = np.searchsorted(starts, inner, "left") - 1
+        held = np.maximum(at, 0)
+        cut = np.unique(inner[(at >= 0) & (inner > starts[held]) & (inner < ends[held])])
+        if len(cut):
+            starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    return starts, ends
+
+
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, from prefix sums of a polynomial modulo 2^64."""
     up, down = _powers(len(raw) + 1)
@@ -199,15 +212,7 @@ def word_blocks(column: pa.Array, block: int = BLOCK_BYTES) -> Iterator[tuple[in
     """
     for lo, raw, offsets in utf8_blocks(pc.utf8_lower(_as_strings(column)), block):
         if len(raw):
-            gaps = raw
-            starts, ends = word_spans(gaps)
-            # a word never spans two texts: cut at the offsets between them
-            inner = offsets[1:-1]
-            at = np.searchsorted(starts, inner, "left") - 1
-            cut = inner[(at >= 0) & (inner > starts[np.maximum(at, 0)]) & (inner < ends[np.maximum(at, 0)])] if len(starts) else inner[:0]
-            if len(cut):
-                cut = np.unique(cut)
-                starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+            starts, ends = text_word_spans(raw, offsets)
             h = hash_spans(raw, starts, ends)
         else:
             starts = ends = np.empty(0, np.int64)
