@@ -87,9 +87,11 @@ def _above(cells: DataFrame, n: int, block: int = 4096) -> DataFrame:
     return inner.join(joined, "block", "left").select("cell", F.coalesce("inner", "next_least").alias("above"))
 
 
-def with_next(docs: DataFrame, columns: list[str], tie: list[str], stretch: int = STRETCH) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], tie: list[str], derived: dict[str, Column] | None = None, stretch: int = STRETCH) -> DataFrame:
     """``columns`` of ``docs`` and ``next_<column>``: those of the following row in descending ``doc_id``, circular.
 
+    ``derived`` columns are computed once from each row, behind the exchange, so that they are not part of it.
+
     Ids are cut into stretches: at their approximate quantiles, and evenly between those.  A stretch is one window
     partition, so no task sees all rows; the first row of a stretch also goes, as the last one, to the stretch before it
     (that of the whole order to the last stretch).  Rows of equal ids follow each other by a hash of ``tie``, rows of null
@@ -118,11 +120,16 @@ def with_next(docs: DataFrame, columns: list[str], tie: list[str], stretch: int
     targets = heads.join(_above(heads.select("cell"), number), "cell").select(
         F.col("head._key").alias("_key"), F.col("head._tie").alias("_tie"), F.coalesce("above", F.lit(lowest or 0)).alias("_target")
     )
+    targets = materialize(targets, "targets")  # a table of known size, so that a small one is broadcast and texts stay where they are
     extra = placed.join(targets, ["_key", "_tie"]).select(*columns, "_key", "_tie", F.col("_target").alias("_cell"), F.lit(1).alias("_extra"))
     both = placed.withColumn("_extra", F.lit(0)).unionByName(extra)
     order = Window.partitionBy("_cell").orderBy("_extra", F.col("_key").desc(), F.col("_tie").desc())
+    names = [*columns, *(derived or {})]
     followed = both.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
-    return followed.where("_extra = 0").select(*columns, *(f"next_{c}" for c in columns))
+    if derived:
+        followed = followed.withColumns(derived)
+        followed = followed.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in derived))
+    return followed.where("_extra = 0").select(*names, *(f"next_{c}" for c in names))
 
 
 def fingerprints(docs: DataFrame, scale: int = SCALE, stretch: int = STRETCH) -> DataFrame:
@@ -139,8 +146,7 @@ def fingerprints(docs: DataFrame, scale: int = SCALE, stretch: int = STRETCH) ->
     gives an empty result; other columns are ignored.
     """
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sketched = text.select("doc_id", "text", sketch(F.col("text"), scale).alias("sketch"))
-    pairs = with_next(sketched, ["doc_id", "text", "sketch"], ["text"], stretch)
+    pairs = with_next(text, ["doc_id", "text"], ["text"], {"sketch": sketch(F.col("text"), scale)}, stretch)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left(F.col("text"), n - half), F.left(F.col("next_text"), half))
