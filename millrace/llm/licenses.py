@@ -24,7 +24,7 @@ from millrace.llm.common import adam, window_hash, word_blocks
 UNKNOWN_DOCUMENTS = 400
 LONG_PARAGRAPH = 48
 #: Share of a paragraph's word pairs that confirms a family.
-CONFIRMING = 0.6
+CONFIRMING = 0.5
 UNKNOWN = "none"
 
 # ---- fixed values: notices of well-known licences, by family -------------------------------------------------------------

@@ -49,8 +49,8 @@ def reversed_key(host: Column) -> Column:
 
 
 def _fits(stack: list[tuple], path: str) -> tuple | None:
-    """The longest rule on the stack whose path the given one starts with; of equally long ones, that of the longer host."""
-    return max((rule for rule in stack if path.startswith(rule[2])), key=itemgetter(3, 5), default=None)
+    """The longest rule on the stack whose path the given one starts with; of equally long ones, that of the longer host, then of the later path and verdict."""
+    return max((rule for rule in stack if path.startswith(rule[2])), key=itemgetter(3, 5, 2, 4), default=None)
 
 
 def _sweep(rows: Iterator[tuple]) -> Iterator[tuple]:

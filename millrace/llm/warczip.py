@@ -92,15 +92,17 @@ class ZipPackage:
                 break
         entries, length, start = struct.unpack_from("<HII", tail, at + 10)
         directory_end = tail_at + at
-        if FULL16 == entries or FULL32 in (length, start):
-            locator = self._read(tail_at + at - 20, 20) if tail_at + at >= 20 else b""
-            if locator[:4] == LOCATOR64:
-                (where,) = struct.unpack_from("<Q", locator, 8)
-                record = self._read(where, 56)
-                if record[:4] != EOCD64:
-                    raise ValueError("the ZIP64 locator points at no ZIP64 record")
-                entries, length, start = struct.unpack_from("<QQQ", record, 32)
-                directory_end = where
+        locator = self._read(directory_end - 20, 20) if directory_end >= 20 else b""
+        if locator[:4] == LOCATOR64:  # some writers add the ZIP64 record although the 32-bit fields suffice
+            (where,) = struct.unpack_from("<Q", locator, 8)
+            candidates = (where, directory_end - 76)  # the second: bytes stand before the package
+            where = next((x for x in candidates if 0 <= x <= size - 56 and self._read(x, 4) == EOCD64), None)
+            if where is None:
+                raise ValueError("the ZIP64 locator points at no ZIP64 record")
+            entries, length, start = struct.unpack_from("<QQQ", self._read(where, 56), 32)
+            directory_end = where
+        elif entries == FULL16 or FULL32 in (length, start):
+            raise ValueError("the ZIP64 locator is missing")
         shift = directory_end - length - start  # bytes before the package, as in self-extracting files
         data, at = self._read(start + shift, length), 0
         for _ in range(entries):
