@@ -119,4 +119,4 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance; null where a coordinate is."""
     a1, o1, a2, o2 = (F.radians(c) for c in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((a2 - a1) / 2), F.lit(2.0)) + F.cos(a1) * F.cos(a2) * F.pow(F.sin((o2 - o1) / 2), F.lit(2.0))
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))  # least() would pass over a null

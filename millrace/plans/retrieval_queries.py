@@ -192,7 +192,7 @@ def microcat_centroid_cos(t: Tables) -> DataFrame:
 
 # ---- fusion and pools ------------------------------------------------------------------------------------------------------
 
-_HAV = "2 * 6371.0088 * asin(sqrt(least(pow(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin((radians({3}) - radians({1})) / 2), 2), 1.0)))"
+_HAV = "2 * 6371.0088 * asin(sqrt(pow(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin((radians({3}) - radians({1})) / 2), 2)))"
 _NEAR = f"""xy AS (SELECT vec_id, CASE WHEN vec_id % 13 = 5 THEN NULL ELSE 40 + (vec_id % 97) * 0.1 END AS lat, 10 + (vec_id % 89) * 0.1 AS lon FROM embeddings),
 nr AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM dg JOIN xy a ON a.vec_id = query_id JOIN xy b ON b.vec_id = item_id WHERE {_HAV.format("a.lat", "a.lon", "b.lat", "b.lon")} < 300)"""
 

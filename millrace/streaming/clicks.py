@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 def windowed_counts(clicks: DataFrame, keys: list[str], time: str = "ts", window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Counts of clicks by keys and tumbling window; what is later than ``late`` is left out."""
-    return clicks.withWatermark(time, late).groupBy(F.window(time, window).alias("window"), *keys).agg(F.count("*").alias("n_clicks"))
+    timed = clicks.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, late).groupBy(F.window(time, window).alias("window"), *keys).agg(F.count("*").alias("n_clicks"))
 
 
 def append_counts(counts: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
