@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from millrace.operators.fusion import top_k
+from millrace.scratch import materialize
 
 FIELDS = ("title", "params", "desc")
 FIELD_WEIGHTS = {"title": 1.0, "params": 0.5, "desc": 1.0}
@@ -46,14 +47,20 @@ def combine_fields(scores: DataFrame, weights: dict[str, float] | None = None, f
 
 
 def lexical_tours(scores: DataFrame, queries: DataFrame, items: DataFrame, k_local: int, k_global: int) -> tuple[DataFrame, DataFrame]:
-    """(local, global) rankings of positive scores; local ones among items of the query's location, null equal to null."""
-    local = (
-        scores.join(queries.select("query_id", F.col("location").alias("_q")), "query_id")
-        .join(items.select("item_id", F.col("location").alias("_i")), "item_id")
-        .where(F.col("_q").eqNullSafe(F.col("_i")))
-        .drop("_q", "_i")
-    )
-    return top_k(local, k_local, positive=True), top_k(scores, k_global, positive=True)
+    """(local, global) rankings of positive scores; local ones among items of the query's location, null equal to null.
+
+    Scores are computed once: a pair counts in its scopes as rows, one window (limited before its exchange) ranks both, and
+    the rankings, which are small, become a table.
+    """
+    placed = scores.where(F.col("score") > 0).join(queries.select("query_id", F.col("location").alias("_q")), "query_id")
+    placed = placed.join(items.select("item_id", F.col("location").alias("_i")), "item_id")
+    scopes = F.when(F.col("_q").eqNullSafe(F.col("_i")), F.array(F.lit("global"), F.lit("local"))).otherwise(F.array(F.lit("global")))
+    rows = placed.select(*scores.columns, F.explode(scopes).alias("scope"))
+    order = Window.partitionBy("query_id", "scope").orderBy(F.round("score", 9).desc(), F.col("item_id"))
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k_local, k_global))
+    limit = F.when(F.col("scope") == "global", F.lit(k_global)).otherwise(F.lit(k_local))
+    tours = materialize(ranked.where(F.col("rank") <= limit), "tours")
+    return tours.where("scope = 'local'").drop("scope"), tours.where("scope = 'global'").drop("scope")
 
 
 def lexical_candidates(scores: DataFrame, local: DataFrame, glob: DataFrame, extra: DataFrame | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
