@@ -1,4 +1,4 @@
-"""Shared pieces: scratch tables in the shared folder, label folds, bounded samples, vectorised token hashing.
+"""Shared pieces: label folds, bounded samples, vectorised token hashing.
 
 The hashing helpers take text straight from Arrow buffers into NumPy, in blocks of a few hundred kilobytes, so a Python
 worker's memory does not depend on the size of an Arrow batch.  A text that alone exceeds a block is still one block.
@@ -6,66 +6,20 @@ worker's memory does not depend on the size of an Arrow batch.  A text that alon
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: UTF-8 bytes of text that are hashed at a time.
-BLOCK_BYTES = 1 << 19
-
-_LOCAL_SCRATCH: dict[str, str] = {}
-
-
-# ---- scratch tables ------------------------------------------------------------------------------------------------
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset a temporary folder is made, but only under a ``local`` master, where driver and executors are one
-    process; on a cluster the setting is required.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local[") and master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "root" not in _LOCAL_SCRATCH:
-        import shutil
-        import tempfile
+from millrace.scratch import drop_scratch, materialize, scratch_path
 
-        _LOCAL_SCRATCH["root"] = tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(shutil.rmtree, _LOCAL_SCRATCH["root"], ignore_errors=True)
-    return "file://" + _LOCAL_SCRATCH["root"]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet under the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Deletes the files of a table that :func:`materialize` returned, through Hadoop's own file system."""
-    spark = df.sparkSession
-    root, jvm = scratch_root(spark), spark._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/millrace/" in name and name.split("://")[-1].lstrip("/").startswith(root.split("://")[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["drop_scratch", "materialize", "scratch_path"]
 
+#: UTF-8 bytes of text that are hashed at a time.
+BLOCK_BYTES = 1 << 19
 
 # ---- labels ----------------------------------------------------------------------------------------------------------
 
