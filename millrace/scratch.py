@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+#: Paths handed out, in order.
+_PATHS: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,7 +36,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -42,11 +48,35 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Deletes the files of a table that :func:`materialize` returned, through Hadoop's own file system."""
-    spark = df.sparkSession
-    root, jvm = scratch_root(spark), spark._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/millrace/" in name and name.split("://")[-1].lstrip("/").startswith(root.split("://")[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Hadoop's own file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the scratch tables made within, at its end, but for the paths that are put into the list it gives.
+
+    What is computed within must be written (or otherwise used up) within.
+    """
+    start, kept = len(_PATHS), []
+    try:
+        yield kept
+    finally:
+        made, _PATHS[start:] = _PATHS[start:], kept
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
+
+
+def last_path() -> str:
+    """The path that was handed out last: that of the table that :func:`materialize` has just returned."""
+    return _PATHS[-1]
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Deletes one scratch table."""
+    if path in _PATHS:
+        _PATHS.remove(path)
+        _delete(spark, path)
