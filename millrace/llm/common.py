@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.scratch import drop_scratch, materialize, scratch_path
+from millrace.scratch import materialize, scratch_path
 
-__all__ = ["drop_scratch", "materialize", "scratch_path"]
+__all__ = ["materialize", "scratch_path"]
 
 #: UTF-8 bytes of text that are hashed at a time.
 BLOCK_BYTES = 1 << 19
@@ -37,13 +37,13 @@ def held_out(id_column: Column, parts: int, rest: int) -> Column:
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, per_class: int, parts: int = 3, rest: int = 1
 ) -> list[tuple[int, str, int]]:
-    """About ``per_class`` labelled texts of each class on the driver: the only rows a classifier is fitted on.
+    """About ``per_class`` texts of each label (0 and 1) on the driver: the only rows a classifier is fitted on.
 
     Rows come from the folds other than ``rest`` and are chosen by a hash of their id, so the choice does not depend on
     partitioning.  The expected number of rows is the documented bound; what is collected from ``labels`` (ids only) has
     the same bound, which makes the broadcast of those ids safe.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != rest)).select(
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != rest)).select(
         "doc_id", F.col(label).cast("int").alias("y")
     )
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
