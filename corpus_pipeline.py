@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe, dartminhash, decontaminate, language, toxicity
-from millrace.llm.common import materialize
+from millrace.scratch import drop_scratch, last_path, materialize, temporary
 from millrace.session import read_table
 
 #: No SQL expresses the trained stages and the tokenizer; tests hold run() against a brute-force version.
@@ -51,8 +51,16 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is a Parquet table that the next one reads."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's result is a Parquet table that the next one reads.
+
+    A stage's own intermediate tables, and the result of the stage before, are deleted once its result is written.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporary(spark) as kept:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(last_path())
+        if before is not None:
+            drop_scratch(spark, before)
+        before = kept[0]
     return docs
