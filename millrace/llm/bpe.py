@@ -7,8 +7,8 @@ first where they overlap; entries whose pair has changed since are stale and are
 other, so this equals merging each alone; should a vocabulary let a merge open a pair of a lower rank, the pre-tokens
 concerned are merged again alone, strictly one step at a time.  A pre-token of megabytes is no special case.
 
-Pre-tokens repeat, so every task keeps the encodings of those it has seen; the memory of that table is bounded, and it
-starts anew when full.
+Pre-tokens repeat, so every task keeps the encodings of those it has seen; the memory of that table is bounded: when it is
+full, the half that was learned last goes.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Entries in a task's table of known encodings, and the longest pre-token (in characters) that it holds.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 CACHE_LENGTH = 64
 #: Characters of text whose new pre-tokens are merged together, and from how many on that is worth it.
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 4_000_000
 TOGETHER = 500
 
 
@@ -185,7 +186,7 @@ class ByteBPE:
         following[-1] = n - 1
         pair_rank = np.full(n, -1)
         pair_rank[:-1] = self._pair_ranks(ids[:-1], ids[1:])
-        alive = np.ones(n, bool)
+        alive, starting = np.ones(n, bool), np.zeros(n, bool)
         queue, again = RankQueue(), []
         at = np.flatnonzero(pair_rank >= 0)
         self._push(queue, pair_rank[at], at)
@@ -196,7 +197,10 @@ class ByteBPE:
             if not len(at):
                 continue
             second = following[at]
-            if len(at) > 1 and ids[at[0]] == ids[second[0]] or len(at) > 1 and np.isin(second, at, assume_unique=True).any():
+            starting[at] = True
+            overlap = starting[second].any()
+            starting[at] = False
+            if overlap:
                 taken, last = [], -1
                 for i, j in zip(at.tolist(), second.tolist(), strict=True):
                     if i != last:
@@ -243,20 +247,19 @@ class ByteBPE:
     def encode_block(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as decimals joined by one space."""
         split = [self.split(t) for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {}
+        if len(self.known) > CACHE_ENTRIES:  # what was seen first is what is seen often
+            self.known = dict(islice(self.known.items(), CACHE_ENTRIES // 2))
         known = self.known
-        new = list({t for tokens in split for t in tokens if t not in known})
+        new = list(set().union(*split).difference(known))
         merged = self.merge([t.encode("utf-8", "replace") for t in new])
-        fresh = {t: " ".join(map(str, ids)).encode() for t, ids in zip(new, merged, strict=True)}
-        long = {t: e for t, e in fresh.items() if len(t) > CACHE_LENGTH}
-        known.update(fresh)
+        known.update((t, " ".join(map(str, ids)).encode()) for t, ids in zip(new, merged, strict=True))
         try:
             for tokens in split:
-                yield b" ".join([known[t] for t in tokens])
+                yield b" ".join(map(known.__getitem__, tokens))
         finally:
-            for t in long:
-                known.pop(t, None)
+            for t in new:
+                if len(t) > CACHE_LENGTH:
+                    known.pop(t, None)
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         block, size = [], 0
