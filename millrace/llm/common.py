@@ -20,6 +20,8 @@ __all__ = ["materialize", "scratch_path"]
 
 #: UTF-8 bytes of text that are hashed at a time.
 BLOCK_BYTES = 1 << 19
+#: Texts that are converted at a time.
+BLOCK_ROWS = 1000
 
 # ---- labels ----------------------------------------------------------------------------------------------------------
 
@@ -70,18 +72,24 @@ def _as_strings(column: pa.Array) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
-def utf8_blocks(column: pa.Array, block: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, UTF-8 bytes, offsets of the texts in them) of consecutive texts; null counts as empty."""
-    column = _as_strings(column)
-    n = len(column)
-    offsets = np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8)
-    data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-    lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + block, "right")) - 1)
-        yield lo, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        lo = hi
+def utf8_blocks(column: pa.Array, block: int = BLOCK_BYTES, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, UTF-8 bytes, offsets of the texts in them) of consecutive texts; null counts as empty.
+
+    Only :data:`BLOCK_ROWS` texts are converted at a time, so an Arrow batch is not copied as a whole.
+    """
+    for first in range(0, len(column), BLOCK_ROWS):
+        part = _as_strings(column.slice(first, BLOCK_ROWS))
+        if lower:
+            part = pc.utf8_lower(part)
+        n = len(part)
+        offsets = np.frombuffer(part.buffers()[1], np.int64, n + 1, part.offset * 8)
+        data = part.buffers()[2]
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + block, "right")) - 1)
+            yield first + lo, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            lo = hi
 
 
 def code_point_blocks(column: pa.Array, block: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -164,7 +172,7 @@ def word_blocks(column: pa.Array, block: int = BLOCK_BYTES) -> Iterator[tuple[in
 
     A word is a run of ASCII letters and digits and of any non-ASCII characters.
     """
-    for lo, raw, offsets in utf8_blocks(pc.utf8_lower(_as_strings(column)), block):
+    for lo, raw, offsets in utf8_blocks(column, block, lower=True):
         if len(raw):
             starts, ends = text_word_spans(raw, offsets)
             h = hash_spans(raw, starts, ends)

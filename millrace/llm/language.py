@@ -282,19 +282,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, vocabulary: str | N
         share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
     chosen = known.where(F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1_000_000)) < share * 1_000_000)
     rows = sorted((r["lang"], r["text"]) for r in chosen.select("lang", "text").collect())
-    counts: dict[str, dict[str, float]] = {}
-    for _, h, offsets, spans in word_blocks(pa.array([t for _, t in rows], pa.large_string()), 1 << 40):
-        keys, first, which = np.unique(h, return_index=True, return_inverse=True)
-        words = _words(*spans, first)
-        owner = np.repeat(np.arange(len(rows)), np.diff(offsets))
-        names = sorted({g for g, _ in rows})
-        index = np.array([names.index(g) for g, _ in rows])
-        table = np.bincount(index[owner] * len(keys) + which, minlength=len(names) * len(keys)).reshape(len(names), len(keys))
-        for g, name in enumerate(names):
-            own = counts.setdefault(name, {})
-            for k in np.flatnonzero(table[g]):
-                if words[k]:
-                    own[words[k]] = own.get(words[k], 0.0) + float(table[g, k])
+    counts: dict[str, dict[str, float]] = {g: {} for g, _ in rows}
+    for lo, h, offsets, spans in word_blocks(pa.array([t for _, t in rows], pa.large_string())):
+        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            own = counts[rows[lo + k][0]]
+            _, first, times = np.unique(h[a:b], return_index=True, return_counts=True)
+            for word, n in zip(_words(*spans, a + first), times.tolist(), strict=True):
+                if word:
+                    own[word] = own.get(word, 0.0) + n
     return fit({g: c for g, c in counts.items() if c}, vocabulary)
 
 
