@@ -233,7 +233,7 @@ def merge_pool_near(t: Tables) -> DataFrame:
 @query(
     "pool_rank_features",
     f"""WITH {_DENSE}, {_NEAR}, {_MERGED},
-        pool AS (SELECT query_id, item_id FROM mg WHERE rank <= 40 UNION SELECT query_id, item_id FROM ds WHERE item_id % 100 = 0),
+        pool AS (SELECT query_id, item_id FROM mg WHERE rank <= 40 UNION SELECT query_id, item_id FROM ds WHERE ql = il),
         x AS (SELECT query_id, item_id, coalesce(mg.rank - 1, 1000) AS pool_rank, ds.score AS v FROM pool LEFT JOIN mg USING (query_id, item_id) JOIN ds USING (query_id, item_id))
         SELECT query_id, item_id, pool_rank, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, item_id) AS dense_cos_rank_in_pool, round(v - max(v) OVER (PARTITION BY query_id), 5) AS dense_cos_minus_max FROM x""",
 )
@@ -242,7 +242,7 @@ def pool_rank_features(t: Tables) -> DataFrame:
 
     q, d = vectors(t)
     m = merged(t)
-    extra = q.select("query_id").crossJoin(F.broadcast(q.select(F.col("query_id").alias("item_id"))))
+    extra = q.select("query_id", "location").join(d.select("item_id", "location"), "location")
     pairs = vector.pair_dense(fusion.pool_pairs(m, 40, extra), q, d)
     out = add_pool_features(pairs, m, 1000, ["dense_cos"])
     return out.select("query_id", "item_id", "pool_rank", F.col("dense_cos_rank_in_pool").cast("bigint").alias("dense_cos_rank_in_pool"), F.round("dense_cos_minus_max", 5).alias("dense_cos_minus_max"))
