@@ -195,14 +195,6 @@ def window_hash(words: np.ndarray, offsets_in_window: list[int]) -> np.ndarray:
     return mix(h)
 
 
-def segments(offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts that stay inside one text, and the text of each."""
-    sizes = np.maximum(np.diff(offsets) - span + 1, 0)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return np.arange(sizes.sum()) - first[text] + offsets[:-1][text], text
-
-
 # ---- linear models ---------------------------------------------------------------------------------------------------
 
 
