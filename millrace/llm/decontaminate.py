@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a mask over a window of tokens; its hash takes only the selected positions, so tokens at the ignored positions
-may be substituted without losing the hit.  Hashes of all windows of the documents are looked up among those of the
-benchmark; every hit fixes a diagonal (document position minus item position), along which the whole item is compared
-and the best ungapped segment is verified: long enough, with enough equal tokens.
+may be substituted without losing the hit.  Dense seeds, short runs of tokens, stand beside the spaced ones: any segment
+that meets the rule below holds such a run, so none is lost.  Hashes of all windows of the documents are looked up among
+those of the benchmark; every hit fixes a diagonal (document position minus item position), along which the whole item is
+compared and an ungapped segment is verified: long enough, with enough equal tokens.
 
 The benchmark is the small side: it is split into blocks of bounded size, each of which fits every task, and each block
 meets all documents in one narrow pass.  There is no shuffle of documents and no limit on hits or partners.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -25,6 +27,9 @@ from millrace.llm.common import window_hash, word_blocks
 
 #: Selected positions are 1.  Three seeds of weight 7: a hit survives substitutions at any of the ignored positions.
 MASKS = ("1110110101", "1101001100111", "1011100010000111")
+#: Dense seeds, with the least and the most tokens of the items they are for.  m substitutions in L tokens leave a run of
+#: at least (L - m) / (m + 1) equal ones: with a fifth substituted 3 in items of 10 to 18 tokens, 4 in longer ones.
+DENSE = {"111": (10, 18), "1111": (19, None)}
 #: Items shorter than the longest mask are also sought whole, from this many tokens on; shorter items are ignored.
 LEAST_TOKENS = 5
 #: A verified segment has this many tokens (or this share of a shorter item) and this share of equal ones.
@@ -33,6 +38,8 @@ SEGMENT_SHARE = 0.8
 IDENTITY = 0.8
 #: Characters of benchmark text that go to every task at a time.
 BLOCK_CHARS = 20_000_000
+#: Seed hits, and compared tokens, that a task holds at a time.
+HITS = 1_000_000
 
 _SLOTS = 1 << 22
 _RESULT = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("tokens", pa.int64()), ("equal", pa.int64()), ("item_share", pa.float64())])
@@ -59,11 +66,12 @@ def build_index(items: list[tuple[int, str]]) -> SeedIndex:
         tokens.extend(h[a:b].copy() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
     longest = max(map(len, MASKS))
     short = sorted({len(t) for t in tokens if LEAST_TOKENS <= len(t) < longest})
+    sizes = {mask: (0, None) for mask in MASKS} | DENSE | {"1" * n: (n, n) for n in short}
     seeds = {}
-    for mask in (*MASKS, *("1" * n for n in short)):
+    for mask, (least, most) in sizes.items():
         hashes, owner, place = [], [], []
         for k, t in enumerate(tokens):
-            if set(mask) == {"1"} and len(t) != len(mask):
+            if len(t) < least or (most is not None and len(t) > most):
                 continue
             h = window_hash(t, _positions(mask))
             hashes.append(h)
@@ -84,21 +92,58 @@ def best_segment(equal: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(total[: end + 1])), end
 
 
+def longest_segment(equal: np.ndarray) -> tuple[int, int]:
+    """Start and end of the longest segment with a share of at least :data:`IDENTITY` equal tokens; first of ties."""
+    share = Fraction(IDENTITY).limit_denominator(1000)
+    total = np.concatenate([[0], np.cumsum(np.where(equal, share.denominator, 0) - share.numerator)])
+    # the first place whose total is not above that of the end
+    starts = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    end = int(np.argmax(np.arange(len(total)) - starts))
+    return int(starts[end]), end
+
+
+def tokens_needed(size: int) -> int:
+    """The least tokens of a verified segment of an item of ``size`` tokens."""
+    return min(SEGMENT_TOKENS, math.ceil(SEGMENT_SHARE * size))
+
+
 def verify(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
-    """(start in the document, tokens, equal tokens) of the verified segment along a diagonal, or None."""
+    """(start in the document, tokens, equal tokens) of the verified segment along a diagonal, or None.
+
+    It is the best-scoring segment, or where that one is too short or too different the longest of enough equal tokens.
+    """
     lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     equal = item[lo:hi] == doc[lo + diagonal : hi + diagonal]
-    a, b = best_segment(equal)
-    count = int(equal[a:b].sum())
-    needed = min(SEGMENT_TOKENS, math.ceil(SEGMENT_SHARE * len(item)))
-    if b - a < needed or count < IDENTITY * (b - a):
-        return None
-    return lo + a + diagonal, b - a, count
+    needed = tokens_needed(len(item))
+    for find in (best_segment, longest_segment):
+        a, b = find(equal)
+        count = int(equal[a:b].sum())
+        if b - a >= needed and count >= IDENTITY * (b - a):
+            return lo + a + diagonal, b - a, count
+    return None
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n[k]`` whole numbers from ``first[k]`` on, for each k in turn."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def _slices(n: np.ndarray) -> Iterator[slice]:
+    """Consecutive slices of ``n`` that sum to :data:`HITS` at most, or hold one entry."""
+    total, lo = np.cumsum(n), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] - n[lo] + HITS, "right")))
+        yield slice(lo, hi)
+        lo = hi
 
 
 class _Matcher:
     def __init__(self, index: SeedIndex):
         self.index = index
+        self.flat = np.concatenate([np.empty(0, np.uint64), *index.tokens])
+        self.sizes = np.array([len(t) for t in index.tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.least = np.array([IDENTITY * tokens_needed(n) for n in self.sizes.tolist()])
         self.slots = {}
         for mask, (h, _, _) in index.seeds.items():
             bits = np.zeros(_SLOTS, bool)
@@ -117,11 +162,27 @@ class _Matcher:
             doc = np.searchsorted(offsets, at, "right") - 1
             good = (hi > lo) & (at + len(mask) <= offsets[doc + 1])
             at, lo, n, doc = at[good], lo[good], (hi - lo)[good], doc[good]
-            if len(at):
-                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                found.append(np.stack([np.repeat(doc, n), owner[k], np.repeat(at - offsets[doc], n) - place[k]], axis=1))
+            for s in _slices(n):
+                k = _runs(lo[s], n[s])
+                found.append(self._alike(words, offsets, np.repeat(doc[s], n[s]), owner[k], np.repeat(at[s] - offsets[doc[s]], n[s]) - place[k]))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
+    def _alike(self, words: np.ndarray, offsets: np.ndarray, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """The distinct hits whose whole diagonal has as many equal tokens as the least verified segment."""
+        order = np.lexsort((diagonal, item, doc))
+        doc, item, diagonal = doc[order], item[order], diagonal[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) != 0)
+        doc, item, diagonal = doc[new], item[new], diagonal[new]
+        lo = np.maximum(0, -diagonal)
+        n = np.minimum(self.sizes[item], offsets[doc + 1] - offsets[doc] - diagonal) - lo
+        count = np.zeros(len(n), np.int64)
+        for s in _slices(n):
+            equal = self.flat[_runs(self.starts[item[s]] + lo[s], n[s])] == words[_runs(offsets[doc[s]] + diagonal[s] + lo[s], n[s])]
+            count[s] = np.add.reduceat(equal, np.cumsum(n[s]) - n[s], dtype=np.int64)
+        good = count >= self.least[item]
+        return np.stack([doc[good], item[good], diagonal[good]], axis=1)
+
     def __call__(self, column: pa.Array) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(column))]
         for lo, words, offsets, _ in word_blocks(column):

@@ -75,3 +75,32 @@ def test_documents_in_blocks_equal_all_at_once(spark):
     kept = d.drop_contaminated(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {k for k in range(60) if k % 2 == 0} | {100, 101}
     assert d.contaminated(df.limit(0), bench).count() == 0 and d.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_substitutions_near_the_ends_do_not_lose_an_overlap():
+    item = ["t%d" % k for k in range(20)]
+    words = ["x" if k in (2, 4, 17) else w for k, w in enumerate(item)]
+    found = _matcher([(1, " ".join(item))])(pa.array([" ".join(["a", "b", *words, "c"])]))[0]
+    assert [(o["item_id"], o["equal"]) for o in found] == [(1, 17)]
+
+
+@pytest.mark.parametrize("size", [10, 12, 15, 18, 19, 20, 25, 31])
+def test_every_overlap_that_meets_the_rule_is_found(size):
+    draw = random.Random(size)
+    items = [(k, " ".join("t%di%d" % (k, j) for j in range(size))) for k in range(150)]
+    docs = []
+    for _, passage in items:
+        words = passage.split()
+        for at in draw.sample(range(size), size // 5):
+            words[at] = "other"
+        docs.append(" ".join([_text(draw, 9), *words, _text(draw, 9)]))
+    assert [[o["item_id"] for o in x] for x in _matcher(items)(pa.array(docs))] == [[k] for k, _ in items]
+
+
+def test_longest_segments_equal_brute_force():
+    draw = np.random.default_rng(1)
+    for _ in range(300):
+        equal = draw.random(draw.integers(1, 30)) < 0.7
+        sizes = [b - a for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if 5 * int(equal[a:b].sum()) >= 4 * (b - a)]
+        a, b = d.longest_segment(equal)
+        assert b - a == max(sizes, default=0) and 5 * int(equal[a:b].sum()) >= 4 * (b - a)
