@@ -243,6 +243,6 @@ def part_encoded(t: Tables, stage) -> Encoded:
 @query("feature_bank_46")
 def feature_bank_46(t: Tables) -> DataFrame:
     stage = part_stage(t)
-    frame = candidate_features(stage, part_encoded(t, stage), Config(retrieval_k=100, pool_size=60))
+    frame = candidate_features(stage, part_encoded(t, stage), Config())
     return frame.select("query_id", "item_id", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in features.RANKER_FEATURES))
 

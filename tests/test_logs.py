@@ -167,6 +167,14 @@ def test_feature_bank_on_whole_stage(spark):
         assert group.microcat_rank.tolist() == pytest.approx(group.p_microcat_given_query.rank(ascending=False, method="dense").tolist())
 
 
+def test_feature_bank_has_the_pool_of_the_published_settings(spark):
+    from millrace.plans import registry
+
+    # 200 parts are fewer than the pool's 600 places: each of them meets each of the ten queries
+    frame = registry.queries()["feature_bank_46"](spark, "/root/testdata/sf0.001")
+    assert frame.groupBy("query_id").count().toPandas()["count"].tolist() == [200] * 10
+
+
 def test_ranker_prefers_relevant_pairs(spark):
     from millrace.operators import rank
 
