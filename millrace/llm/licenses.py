@@ -1,11 +1,13 @@
 """License scans: a trained paragraph classifier over sparse word n-grams, confirmed against templates.
 
-Paragraphs (lines; lines of more than 48 words are cut at sentence ends) are classified by a softmax regression over
+Paragraphs (sentences of lines, whatever their length) are classified by a softmax regression over
 word 1- to 3-grams into licence families and an unknown class.  The training set is made of the templates below
 (sentences, runs of sentences, with words dropped and neighbouring text added) against paragraphs of a bounded sample of
 the corpus.  A held-out quarter calibrates the probabilities (temperature) and the probability from which a family is
 accepted (so that hardly any unknown paragraph is).  An accepted paragraph is then compared with the family's templates:
-the share of its word pairs that they hold confirms the prediction.
+the share of its word pairs that they hold confirms the prediction.  A notice inside a longer sentence is diluted by the
+words around it, so where the whole paragraph is not confirmed its stretches of template pairs are classified by
+themselves; one is confirmed if it holds most of a template.
 """
 
 from __future__ import annotations
@@ -22,9 +24,12 @@ from millrace.llm.common import adam, window_hash, word_blocks
 
 #: Documents whose paragraphs stand for text without a licence, at most (in expectation).
 UNKNOWN_DOCUMENTS = 400
-LONG_PARAGRAPH = 48
 #: Share of a paragraph's word pairs that confirms a family.
 CONFIRMING = 0.5
+#: Share of a template's word pairs that confirms a family inside a paragraph; half of a short one is "released under the".
+CONTAINED = 0.75
+#: A stretch goes on while its template pairs are at most this far apart: a word replaced breaks two pairs.
+STRETCH_GAP = 3
 UNKNOWN = "none"
 
 # ---- fixed values: notices of well-known licences, by family -------------------------------------------------------------
@@ -108,15 +113,10 @@ def _paragraphs(words: np.ndarray, offsets: np.ndarray, spans: tuple) -> np.ndar
     """Offsets (in words) of the paragraphs, which never cross texts."""
     raw, starts, _ = spans
     ends = np.flatnonzero(raw == 10)
-    bounds = np.unique(np.concatenate([offsets, np.searchsorted(starts, ends)]))
-    sizes = np.diff(bounds)
-    if (sizes > LONG_PARAGRAPH).any():
-        stops = np.flatnonzero(((raw[:-1] == 46) | (raw[:-1] == 33) | (raw[:-1] == 63)) & (raw[1:] == 32)) if len(raw) > 1 else ends[:0]
-        at = np.searchsorted(starts, stops)
-        at = at[at < bounds[-1]]
-        at = at[sizes[np.searchsorted(bounds, at, "right") - 1] > LONG_PARAGRAPH]
-        bounds = np.unique(np.concatenate([bounds, at]))
-    return bounds
+    # a sentence end before a digit is an abbreviation's ("v. 2.0")
+    mark = (raw[:-2] == 46) | (raw[:-2] == 33) | (raw[:-2] == 63)
+    stops = np.flatnonzero(mark & (raw[1:-1] == 32) & ~((raw[2:] >= 48) & (raw[2:] <= 57)))
+    return np.unique(np.concatenate([offsets, np.searchsorted(starts, ends), np.searchsorted(starts, stops)]))
 
 
 def _grams(words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -137,6 +137,7 @@ class LicenseModel:
     bias: np.ndarray
     accept: float
     pairs: list[np.ndarray]  # sorted hashes of each family's word pairs
+    templates: list[list[np.ndarray]]  # the same of each template
 
 
 class _Units:
@@ -249,7 +250,7 @@ def fit(corpus: list[str], seed: int = 0, copies: int = 24) -> LicenseModel:
     top = _softmax(z / t)[:, :-1].max(axis=1)[truth == k - 1]
     accept = min(0.95, max(0.5, float(np.quantile(top, 0.998)) if len(top) else 0.5))
     w = w.reshape(size + 1, k) / t
-    return LicenseModel(families, grams, w[:-1], w[-1], accept, pairs)
+    return LicenseModel(families, grams, w[:-1], w[-1], accept, pairs, [[np.unique(_pair_hashes(t)) for t in ts] for ts in templates])
 
 
 def _gram_hashes(words: np.ndarray) -> np.ndarray:
@@ -261,8 +262,48 @@ _FOUND_DDL = "array<struct<family:string,probability:double,similarity:double,co
 
 
 class _Scanner:
+    _SLOTS = 1 << 20
+
     def __init__(self, model: LicenseModel, confirming: float):
         self.model, self.units, self.confirming = model, _Units(model.grams), confirming
+        self.pairs = np.unique(np.concatenate(model.pairs))
+        self.member = np.stack([np.isin(self.pairs, p) for p in model.pairs], axis=1)
+        self.slots = np.zeros(self._SLOTS, bool)
+        self.slots[(self.pairs >> np.uint64(44)).astype(np.int64)] = True
+        # fewer pairs can never be enough of a template
+        self.least = [min(int(np.ceil(CONTAINED * len(t))) for t in ts) for ts in model.templates]
+
+    def _classify(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(paragraph, best family, its probability) of the paragraphs that hold a known n-gram; others have only the bias."""
+        model = self.model
+        unit, f, value = self.units(words, bounds)
+        some, index = np.unique(unit, return_inverse=True)
+        if not len(some):
+            return some, some, np.empty(0)
+        p = _softmax(np.stack([np.bincount(index, model.weights[f, c] * value, len(some)) for c in range(len(model.bias))], axis=1) + model.bias)
+        best = p[:, :-1].argmax(axis=1)
+        return some, best, p[np.arange(len(some)), best]
+
+    def _stretches(self, words: np.ndarray, bounds: np.ndarray, done: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+        """(paragraph, family, share of a template, first word, end) of stretches that hold enough of one, but in those done."""
+        own = _pair_hashes(words)
+        at = np.flatnonzero(self.slots[(own >> np.uint64(44)).view(np.int64)])
+        f = np.minimum(np.searchsorted(self.pairs, own[at]), len(self.pairs) - 1)
+        unit = np.searchsorted(bounds, at, "right") - 1
+        good = (self.pairs[f] == own[at]) & (at + 2 <= bounds[unit + 1]) & ~done[unit]
+        at, f, unit = at[good], f[good], unit[good]
+        for c, templates in enumerate(self.model.templates):
+            mine = self.member[f, c]
+            q, u = at[mine], unit[mine]
+            if not len(q):
+                continue
+            cuts = np.flatnonzero((np.diff(q) > STRETCH_GAP) | (np.diff(u) != 0)) + 1
+            lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(q)]])
+            for k in np.flatnonzero(hi - lo >= self.least[c]).tolist():
+                held = own[q[lo[k] : hi[k]]]
+                share = max(float(np.isin(t, held).mean()) for t in templates)
+                if share >= CONTAINED:
+                    yield int(u[lo[k]]), c, share, int(q[lo[k]]), int(q[hi[k] - 1]) + 2
 
     def __call__(self, column: pa.Array) -> list[list[dict]]:
         model, out = self.model, [[] for _ in range(len(column))]
@@ -270,21 +311,28 @@ class _Scanner:
             if not len(words):
                 continue
             bounds = _paragraphs(words, offsets, spans)
-            unit, f, value = self.units(words, bounds)
-            # a paragraph without any known n-gram has only the bias
-            some, index = np.unique(unit, return_inverse=True)
-            z = np.stack([np.bincount(index, model.weights[f, c] * value, len(some)) for c in range(len(model.bias))], axis=1) + model.bias if len(some) else np.empty((0, len(model.bias)))
-            p = _softmax(z) if len(some) else z
-            best = p[:, :-1].argmax(axis=1) if len(some) else np.empty(0, int)
-            for k in np.flatnonzero(p[np.arange(len(some)), best] >= model.accept) if len(some) else []:
-                a, b = bounds[some[k]], bounds[some[k] + 1]
-                raw, starts, ends = spans
-                likeness = _similarity(words[a:b], model.pairs[best[k]])
+            found: dict[int, tuple[bool, float, float, int]] = {}
+            for u, c, p in zip(*(x.tolist() for x in self._classify(words, bounds)), strict=True):
+                if p >= model.accept:
+                    likeness = _similarity(words[bounds[u] : bounds[u + 1]], model.pairs[c])
+                    found[u] = likeness >= self.confirming, p, likeness, c
+            done = np.zeros(len(bounds), bool)
+            done[[u for u, x in found.items() if x[0]]] = True
+            inside = list(self._stretches(words, bounds, done))
+            if inside:
+                parts = [words[a:b] for *_, a, b in inside]
+                for k, c, p in zip(*(x.tolist() for x in self._classify(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))), strict=True):
+                    u, family, share, _, _ = inside[k]
+                    if c == family and p >= model.accept:
+                        found[u] = max(found.get(u, (False, 0.0, 0.0, 0)), (True, p, share, c))
+            raw, starts, ends = spans
+            for u, (confirmed, p, likeness, c) in sorted(found.items()):
+                a, b = bounds[u], bounds[u + 1]
                 doc = int(np.searchsorted(offsets, a, "right") - 1)
                 out[lo + doc].append(
                     {
-                        "family": model.families[best[k]], "probability": float(p[k, best[k]]), "similarity": likeness,
-                        "confirmed": likeness >= self.confirming, "paragraph": raw[starts[a] : ends[b - 1]].tobytes().decode("utf-8", "replace"),
+                        "family": model.families[c], "probability": p, "similarity": likeness,
+                        "confirmed": confirmed, "paragraph": raw[starts[a] : ends[b - 1]].tobytes().decode("utf-8", "replace"),
                     }
                 )
         return out

@@ -63,3 +63,12 @@ def test_documents(spark):
     by = {r.doc_id: r for r in out if r.n_paragraphs != 1 or r.doc_id != 100}
     assert by[100].families == ["CC", "MIT"] and by[None].family == "BSD" and by[103].family == "GPL" and by[101].family == "none"
     assert licenses.scan_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("notice, family", [("Licensed under CC BY 4.0.", "CC"), ("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache")])
+@pytest.mark.parametrize("words", [20, 30, 42, 49, 200])
+def test_short_notices_inside_a_line_whatever_its_length(scanner, notice, family, words):
+    prose = " ".join(["the river and the house of stone to garden"] * 30).split()[:words]
+    lines = [" ".join(prose) + ". " + notice, " ".join(prose) + " " + notice, notice[:-1] + " " + " ".join(prose), " ".join(prose)]
+    found = [[(f["family"], f["confirmed"]) for f in x if f["confirmed"]] for x in scanner(pa.array(lines))]
+    assert found == [[(family, True)], [(family, True)], [(family, True)], []]
