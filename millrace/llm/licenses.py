@@ -24,6 +24,8 @@ from millrace.llm.common import adam, window_hash, word_blocks
 
 #: Documents whose paragraphs stand for text without a licence, at most (in expectation).
 UNKNOWN_DOCUMENTS = 400
+#: Paragraphs of them that the unknown class is fitted on, at most; every document is scanned.
+UNKNOWN_PARAGRAPHS = 6000
 #: Share of a paragraph's word pairs that confirms a family.
 CONFIRMING = 0.5
 #: Share of a template's word pairs that confirms a family inside a paragraph; half of a short one is "released under the".
@@ -190,8 +192,8 @@ def _similarity(words: np.ndarray, pairs: np.ndarray) -> float:
     return float((pairs[np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)] == own).mean())
 
 
-def fit(corpus: list[str], seed: int = 0, copies: int = 24) -> LicenseModel:
-    """Fits on the templates against the paragraphs of ``corpus``, leaving out those that resemble a template."""
+def fit(corpus: list[str], seed: int = 0, copies: int = 24, paragraphs: int = UNKNOWN_PARAGRAPHS) -> LicenseModel:
+    """Fits on the templates against ``paragraphs`` of ``corpus``, at most, leaving out those that resemble a template."""
     draw, families = np.random.default_rng(seed), sorted(TEMPLATES)
     templates = [_words_of(TEMPLATES[f]) for f in families]
     pairs = [np.unique(np.concatenate([_pair_hashes(t) for t in ts])) for ts in templates]
@@ -202,7 +204,7 @@ def fit(corpus: list[str], seed: int = 0, copies: int = 24) -> LicenseModel:
     everything = np.unique(np.concatenate(pairs))
     unknown = [w for w in unknown if _similarity(w, everything) < 0.3]
     draw.shuffle(unknown)
-    unknown = unknown[:6000]
+    unknown = unknown[:paragraphs]
     # words of licences out of order, and single ones, are no licence either
     pool = np.concatenate([t for ts in templates for t in ts])
     unknown += [draw.choice(pool, int(n)) for n in draw.integers(1, 12, 300)]

@@ -72,3 +72,11 @@ def test_short_notices_inside_a_line_whatever_its_length(scanner, notice, family
     lines = [" ".join(prose) + ". " + notice, " ".join(prose) + " " + notice, notice[:-1] + " " + " ".join(prose), " ".join(prose)]
     found = [[(f["family"], f["confirmed"]) for f in x if f["confirmed"]] for x in scanner(pa.array(lines))]
     assert found == [[(family, True)], [(family, True)], [(family, True)], []]
+
+
+def test_the_paragraphs_of_the_unknown_class_are_a_parameter(monkeypatch):
+    draw, sizes = random.Random(6), []
+    monkeypatch.setattr(licenses, "adam", lambda gradient, start, *_: sizes.append(len(start)) or start)
+    corpus = [_prose(draw) for _ in range(20)]
+    few, many = (licenses.fit(corpus, paragraphs=n) for n in (5, licenses.UNKNOWN_PARAGRAPHS))
+    assert licenses.UNKNOWN_PARAGRAPHS == 6000 and len(sizes) == 2 and few.families == many.families
