@@ -173,3 +173,14 @@ def test_labels_and_recall(spark):
     strata = spark.createDataFrame([(0, "seen"), (1, "new")], "query_id int, stratum string")
     assert {r.stratum: (r.recall, r.n) for r in evaluate.stratified_recall(per, strata).collect()} == {"seen": (1.0, 1), "new": (0.5, 1), "unknown": (0.0, 1)}
     assert evaluate.recall_at_k(shown, qrels.where(F.lit(False)), 5).first().recall == 0.0
+
+
+def test_qrels_find_texts_inside_tokens_and_short_ones(spark):
+    from types import SimpleNamespace
+
+    from millrace.plans.rank_queries import qrels
+
+    bench = spark.createDataFrame([(1, "one two three four five"), (2, "red fox"), (3, None), (4, "six seven eight nine ten")], "item_id bigint, text string")
+    texts = ['so "one two three four five", he said', "one two three four five", "a (red fox) ran", "one two three four", "xsix seven eight nine tenth", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(map(tuple, qrels(SimpleNamespace(benchmark=bench, documents=docs)).collect())) == [(1, 0), (1, 1), (2, 2), (4, 4)]
