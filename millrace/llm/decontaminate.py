@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a mask over a window of tokens; its hash takes only the selected positions, so tokens at the ignored positions
-may be substituted without losing the hit.  Dense seeds, short runs of tokens, stand beside the spaced ones: any segment
-that meets the rule below holds such a run, so none is lost.  Hashes of all windows of the documents are looked up among
+may be substituted without losing the hit.  Dense seeds, short runs of tokens, stand beside the spaced ones: in items
+of 10 tokens and more any segment that meets the rule below holds such a run, so none is lost.  Hashes of all windows of the documents are looked up among
 those of the benchmark; every hit fixes a diagonal (document position minus item position), along which the whole item is
 compared and an ungapped segment is verified: long enough, with enough equal tokens.
 
