@@ -1,7 +1,8 @@
 """Shared pieces: label folds, bounded samples, vectorised token hashing.
 
 The hashing helpers take text straight from Arrow buffers into NumPy, in blocks of a few hundred kilobytes, so a Python
-worker's memory does not depend on the size of an Arrow batch.  A text that alone exceeds a block is still one block.
+worker's memory depends neither on the size of an Arrow batch nor on the length of a text: a text of more than a block
+comes in pieces, cut behind a line's end or a space (a run of a quarter megabyte without either is cut within).
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ BLOCK_ROWS = 1000
 
 # ---- labels ----------------------------------------------------------------------------------------------------------
 
+#: Longer texts (in code points) are never in a sample that a model is fitted on, which bounds its bytes; all are scored.
+SAMPLE_CHARS = 1 << 16
+
 
 def fold(id_column: Column, parts: int) -> Column:
     """crc32 of the id's text modulo ``parts``."""
@@ -36,29 +40,32 @@ def held_out(id_column: Column, parts: int, rest: int) -> Column:
     return F.coalesce(fold(id_column, parts) == rest, F.lit(False))
 
 
+def below(share: Column | float, *key: Column) -> Column:
+    """Whether a hash of ``key`` is in the lowest ``share`` of its range."""
+    return F.pmod(F.xxhash64(*key), F.lit(1_000_000)) < share * 1_000_000
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, per_class: int, parts: int = 3, rest: int = 1
 ) -> list[tuple[int, str, int]]:
     """About ``per_class`` texts of each label (0 and 1) on the driver: the only rows a classifier is fitted on.
 
-    Rows come from the folds other than ``rest`` and are chosen by a hash of their id, so the choice does not depend on
-    partitioning.  The expected number of rows is the documented bound; what is collected from ``labels`` (ids only) has
-    the same bound, which makes the broadcast of those ids safe.
+    Ids come from the folds other than ``rest`` and are chosen by their hash, so the choice does not depend on
+    partitioning.  An id counts once however often either table repeats it, with its least label and the least of its
+    texts of at most :data:`SAMPLE_CHARS`, so rows and bytes are bounded, as are the ids that are broadcast.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != rest)).select(
-        "doc_id", F.col(label).cast("int").alias("y")
-    )
+    own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != rest))
+    known = own.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return []
     share = F.lit(0.0)
     for y, n in sizes.items():
         share = F.when(F.col("y") == y, F.lit(min(1.0, per_class / n))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(label), F.col("doc_id")), F.lit(1_000_000)) < share * 1_000_000)
-    rows = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    )
-    return sorted((r["doc_id"], r["text"] or "", r["y"]) for r in rows)
+    chosen = known.where(below(share, F.lit(label), F.col("doc_id")))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text") <= SAMPLE_CHARS)
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return sorted((r["doc_id"], r["text"], r["y"]) for r in once.collect())
 
 
 # ---- blocks of text --------------------------------------------------------------------------------------------------
@@ -72,15 +79,26 @@ def _as_strings(column: pa.Array) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
-def utf8_blocks(column: pa.Array, block: int = BLOCK_BYTES, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, UTF-8 bytes, offsets of the texts in them) of consecutive texts; null counts as empty.
+def _cut(raw: np.ndarray, a: int, b: int) -> int:
+    """Where a piece of a long text that begins at ``a`` ends, at ``b`` at the latest: behind a line's end, else a space."""
+    half = a + (b - a) // 2
+    for mark in (10, 32):
+        at = np.flatnonzero(raw[half:b] == mark)
+        if len(at):
+            return half + int(at[-1]) + 1
+    while raw[b] & 0xC0 == 0x80:  # not within a character
+        b -= 1
+    return b
 
-    Only :data:`BLOCK_ROWS` texts are converted at a time, so an Arrow batch is not copied as a whole.
+
+def raw_blocks(column: pa.Array, block: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool, bool]]:
+    """(number of the first text, UTF-8 bytes, offsets of the texts in them, begins, ends) of consecutive texts.
+
+    A null counts as empty.  A text of more than a block comes in pieces of at most a block, each with the text's number;
+    ``begins`` and ``ends`` tell whether a block holds the beginning and the end of its texts.
     """
     for first in range(0, len(column), BLOCK_ROWS):
         part = _as_strings(column.slice(first, BLOCK_ROWS))
-        if lower:
-            part = pc.utf8_lower(part)
         n = len(part)
         offsets = np.frombuffer(part.buffers()[1], np.int64, n + 1, part.offset * 8)
         data = part.buffers()[2]
@@ -88,22 +106,51 @@ def utf8_blocks(column: pa.Array, block: int = BLOCK_BYTES, lower: bool = False)
         lo = 0
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + block, "right")) - 1)
-            yield first + lo, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            a, end = int(offsets[lo]), int(offsets[hi])
+            if end - a <= block:
+                yield first + lo, raw[a:end], offsets[lo : hi + 1] - a, True, True
+            else:
+                at = a
+                while at < end:
+                    stop = end if end - at <= block else _cut(raw, at, at + block)
+                    yield first + lo, raw[at:stop], np.array([0, stop - at]), at == a, stop == end
+                    at = stop
             lo = hi
 
 
-def code_point_blocks(column: pa.Array, block: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _lowered(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(offsets) - 1
+    texts = pc.utf8_lower(pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(raw))))
+    new = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
+    return np.frombuffer(texts.buffers()[2], np.uint8)[new[0] : new[-1]], new - new[0]
+
+
+def utf8_blocks(column: pa.Array, block: int = BLOCK_BYTES, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """:func:`raw_blocks` without its flags, in lower case if asked: a long text's number comes several times."""
+    for lo, raw, offsets, _, _ in raw_blocks(column, block):
+        yield (lo, *(_lowered(raw, offsets) if lower and len(raw) else (raw, offsets)))
+
+
+def code_point_blocks(column: pa.Array, block: int = BLOCK_BYTES, overlap: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(number of the first text, code points in lower case, starts, ends); every text stands between two spaces.
 
-    White space and control characters are all the code point of a space.
+    White space and control characters are all the code point of a space.  A further piece of a long text begins with
+    the last ``overlap`` code points of the one before.
     """
-    for lo, raw, offsets in utf8_blocks(column, block):
+    tail = ""
+    for lo, raw, offsets, begins, ends in raw_blocks(column, block):
         data = raw.tobytes()
         texts = [data[a:b].decode("utf-8", "replace").lower().replace("\0", " ") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        points = np.frombuffer(("\0" + "\0\0".join(texts) + "\0").encode("utf-32-le", "replace"), np.uint32)
-        marks = np.flatnonzero(points == 0)
-        points = np.where(points < 33, np.uint32(32), points)
-        yield lo, points, marks[0::2], marks[1::2] + 1
+        if begins and ends:
+            points = np.frombuffer(("\0" + "\0\0".join(texts) + "\0").encode("utf-32-le", "replace"), np.uint32)
+            marks = np.flatnonzero(points == 0)
+            starts, stops = marks[0::2], marks[1::2] + 1
+        else:
+            piece = (" " if begins else tail) + texts[0] + (" " if ends else "")
+            tail = piece[-overlap:] if overlap else ""
+            points = np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32)
+            starts, stops = np.zeros(1, np.int64), np.array([len(points)])
+        yield lo, np.where(points < 33, np.uint32(32), points), starts, stops
 
 
 # ---- words as hashes -------------------------------------------------------------------------------------------------
@@ -170,7 +217,8 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 def word_blocks(column: pa.Array, block: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple]]:
     """(first text, hash of each lower-cased word, offsets of the texts in them, (bytes, starts, ends)).
 
-    A word is a run of ASCII letters and digits and of any non-ASCII characters.
+    A word is a run of ASCII letters and digits and of any non-ASCII characters.  A text of more than a block comes in
+    pieces, several blocks of its number.
     """
     for lo, raw, offsets in utf8_blocks(column, block, lower=True):
         if len(raw):
@@ -182,6 +230,24 @@ def word_blocks(column: pa.Array, block: int = BLOCK_BYTES) -> Iterator[tuple[in
         yield lo, h, np.searchsorted(starts, offsets, "left"), (raw, starts, ends)
 
 
+def whole_word_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, hash of each word, offsets of the texts in them): :func:`word_blocks` with the pieces of a long text put
+    together, which takes eight bytes for each of its words."""
+    held: list[np.ndarray] = []
+    last = -1
+    for lo, h, offsets, _ in word_blocks(column):
+        if held and lo != last:
+            yield last, np.concatenate(held), np.array([0, sum(map(len, held))])
+            held = []
+        if len(offsets) == 2:
+            held.append(h.copy())
+            last = lo
+        else:
+            yield lo, h, offsets
+    if held:
+        yield last, np.concatenate(held), np.array([0, sum(map(len, held))])
+
+
 def window_hash(words: np.ndarray, offsets_in_window: list[int]) -> np.ndarray:
     """Hash of the words at the given offsets of every window; the last offset + 1 is the window's length."""
     span = offsets_in_window[-1] + 1
