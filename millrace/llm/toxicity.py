@@ -1,11 +1,14 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 A text's features are the distinct character n-grams (3 to 6, lower case, words bounded by spaces) it contains.  Feature
-``j`` has the value ``r_j = log((p_j / |p|) / (q_j / |q|))``, the log ratio of its smoothed document counts in toxic and
-other texts; an L2-regularised logistic regression on these values gives the weights.
+``j`` has the value ``r_j = log(((p_j + 1) / (p + 2)) / ((q_j + 1) / (q + 2)))``, where ``p_j`` of ``p`` toxic and ``q_j`` of
+``q`` other texts of the sample hold it; an L2-regularised logistic regression on these values, in which both classes
+weigh the same, gives the weights.  The features are the :data:`FEATURES` n-grams of greatest chi-squared among those of at
+least :data:`LEAST_DOCUMENTS` texts of the sample.
 
 The model is fitted on the driver from a bounded sample of labelled rows (``per_class`` rows of each class); scoring is
-one narrow pass over the corpus, vectorised over Arrow batches, with no shuffle.
+one narrow pass over the corpus, vectorised over Arrow batches, with no shuffle.  A long text passes in blocks of half a
+megabyte that overlap by the longest n-gram, so its score is that of the whole and memory is bounded.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from millrace.llm.common import adam, code_point_blocks, held_out, labelled_samp
 ORDERS = (3, 4, 5, 6)
 #: Rows of each class that the model is fitted on, at most (in expectation).
 PER_CLASS = 800
+#: n-grams that the model is fitted on, and the texts of the sample that must hold one.
 FEATURES = 4096
+LEAST_DOCUMENTS = 2
 _SLOTS = 1 << 21
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,14 +75,14 @@ def fit(rows: list[tuple[int, str, int]], features: int = FEATURES, l2: float =
     # chi-squared of presence against label chooses the features
     df = p + q
     chi = (p * other - q * toxic) ** 2 / (df * (toxic + other - df) + 1.0)
-    chi[df < 2] = 0
+    chi[df < LEAST_DOCUMENTS] = 0
     slots = np.argsort(-chi, kind="stable")[:features]
     slots = slots[chi[slots] > 0]
     chosen = np.zeros(_SLOTS, bool)
     chosen[slots] = True
     per_row = [g[chosen[(g & mask).astype(np.int64)]] for g in _documents([r[1] for r in rows])]
     grams, df = np.unique(np.concatenate(per_row), return_counts=True)
-    grams = grams[df >= 2]
+    grams = grams[df >= LEAST_DOCUMENTS]
     columns, sizes = [], []
     for g in per_row:
         at = np.searchsorted(grams, g)
@@ -97,9 +102,7 @@ def fit(rows: list[tuple[int, str, int]], features: int = FEATURES, l2: float =
 
     w = adam(gradient, np.zeros(len(grams) + 1), 300, 0.05)
     shift = 0.0 if prior is None else float(np.log(prior / (1 - prior)))
-    weights = w[:-1] * r
-    keep = np.abs(weights) > 1e-3
-    return ToxicityModel(grams[keep], weights[keep], float(w[-1] + shift))
+    return ToxicityModel(grams, w[:-1] * r, float(w[-1] + shift))
 
 
 class _Scorer:
@@ -110,19 +113,27 @@ class _Scorer:
 
     def __call__(self, column: pa.Array) -> np.ndarray:
         model, out = self.model, np.full(len(column), self.model.intercept)
-        if not len(model.grams):
+        size = len(model.grams)
+        if not size:
             return sigmoid(out)
-        for lo, points, starts, ends in code_point_blocks(column):
+        last, seen = -1, np.zeros(size, bool)
+        for lo, points, starts, ends in code_point_blocks(column, overlap=ORDERS[-1] - 1):
             found = []
             for n, h in _gram_hashes(points):
                 at = np.flatnonzero(self.slots[(h & np.uint64(_SLOTS - 1)).view(np.int64)])
-                feature = np.searchsorted(model.grams, h[at])
+                feature = np.minimum(np.searchsorted(model.grams, h[at]), size - 1)
                 doc = np.searchsorted(starts, at, "right") - 1
-                good = (feature < len(model.grams)) & (model.grams[np.minimum(feature, len(model.grams) - 1)] == h[at]) & (at + n <= ends[doc])
-                found.append(doc[good] * len(model.grams) + feature[good])
-            if found:
-                pairs = np.unique(np.concatenate(found))
-                out[lo : lo + len(starts)] += np.bincount(pairs // len(model.grams), model.weights[pairs % len(model.grams)], len(starts))
+                good = (model.grams[feature] == h[at]) & (at + n <= ends[doc])
+                found.append(doc[good] * size + feature[good])
+            if not found:
+                continue
+            pairs = np.unique(np.concatenate(found))
+            if len(starts) == 1:  # perhaps a piece of a long text: a feature counts once in all of them
+                if lo != last:
+                    last, seen = lo, np.zeros(size, bool)
+                pairs = pairs[~seen[pairs]]
+                seen[pairs] = True
+            out[lo : lo + len(starts)] += np.bincount(pairs // size, model.weights[pairs % size], len(starts))
         return sigmoid(out)
 
 
@@ -147,7 +158,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 
     Nulls: a null text is an empty one; a null id gives ``held_out`` false and is never learned from; labels that are null
     are ignored.  Repeated rows are scored each.  An empty table gives an empty result; without labels of both classes all
-    texts get one score.  Other columns are ignored, whatever their names.
+    texts get one score.  Ties: equal texts have equal scores.  Other columns are ignored, whatever their names.  A text of
+    any length is scored whole, in bounded memory.
     """
     model = train(docs, labels, per_class)
     scored = docs.select(F.col("doc_id"), held_out(F.col("doc_id"), 3, 1).alias("held_out"), toxicity_score(F.col("text"), model).alias("score"))
@@ -155,5 +167,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
-    """The rows of ``docs`` (all columns) that score below ``threshold``."""
+    """The rows of ``docs`` (all columns, whatever their names) that score below ``threshold``.
+
+    A null text is judged as an empty one; repeated rows are judged each; an empty table gives an empty result.
+    """
     return docs.where(toxicity_score(F.col("text"), train(docs, labels, per_class)) < threshold)

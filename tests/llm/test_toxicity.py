@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from millrace.llm import toxicity
+from millrace.llm import common, toxicity
 
 CLEAN, BAD = ["river", "stone", "cloud", "garden", "window", "morning", "letter"], ["vilest", "scumbag", "filthy"]
 
@@ -48,7 +48,7 @@ def test_blocks_do_not_change_scores(monkeypatch):
     model = toxicity.fit(_rows(200))
     texts = pa.array([t for _, t, _ in _rows(50, 2)] + ["", None, "x" * 5000])
     whole = toxicity._Scorer(model)(texts)
-    monkeypatch.setattr(toxicity, "code_point_blocks", lambda c: __import__("millrace.llm.common", fromlist=["x"]).code_point_blocks(c, 100))
+    monkeypatch.setattr(toxicity, "code_point_blocks", lambda c, overlap: common.code_point_blocks(c, 100, overlap))
     assert np.allclose(whole, toxicity._Scorer(model)(texts))
 
 
