@@ -1,87 +1,119 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a mask over a window of tokens; its hash takes only the selected positions, so tokens at the ignored positions
-may be substituted without losing the hit.  Dense seeds, short runs of tokens, stand beside the spaced ones: in items
-of 10 tokens and more any segment that meets the rule below holds such a run, so none is lost.  Hashes of all windows of the documents are looked up among
-those of the benchmark; every hit fixes a diagonal (document position minus item position), along which the whole item is
-compared and an ungapped segment is verified: long enough, with enough equal tokens.
-
-The benchmark is the small side: it is split into blocks of bounded size, each of which fits every task, and each block
-meets all documents in one narrow pass.  There is no shuffle of documents and no limit on hits or partners.
+may be substituted without losing the hit.  Hashes of the documents' windows are joined with those of the benchmark's; every
+hit fixes a diagonal (document position minus item position), along which the whole item is compared and an ungapped
+segment is verified: long enough, with enough equal tokens (:func:`tokens_needed`, :data:`IDENTITY`).
+
+**Complete masks.**  A segment of n tokens with at most n/5 substituted is cut into blocks of k tokens; every substitution
+spoils one, so at least floor(n/k) - floor(n/5) are whole, and of those some lie near each other.  The masks of
+:data:`MASKS` select two blocks of three tokens (items of 14 tokens and more), three of two (9 to 13) or four of five tokens
+(5 to 8), at every distance that can occur: each overlap that meets the rule holds a window of one of them, so none is
+lost.  Shorter items (under five tokens, where a fifth is less than one) are sought whole and unchanged.
+
+**Plan.**  The benchmark's distinct hashes set bits of a filter of bounded size, the only thing that is broadcast.  One narrow
+pass over the documents keeps the windows that pass it, with the tokens around them, as a table; that table's hits are
+joined with the benchmark's by hash, then with the items' tokens, and verified.  All three joins are Spark's own, of tables
+of known size: small sides are broadcast by its own check, skewed ones split by adaptive execution.  A larger benchmark than the
+filter is for lets more windows through; it costs time, no results.
+
+**Repeats.**  A hash is one entry of a stretch or item, with all its places as runs (of one word, say) of first and last place;
+two runs meet on an interval of diagonals.  So repeated tokens give no product of rows, and the diagonals of a stretch and
+an item are no more than their tokens together.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import window_hash, word_blocks
+from millrace.llm.common import hash_spans, materialize, mix, text_word_spans, utf8_blocks, window_hash
 
-#: Selected positions are 1.  Three seeds of weight 7: a hit survives substitutions at any of the ignored positions.
-MASKS = ("1110110101", "1101001100111", "1011100010000111")
-#: Dense seeds, with the least and the most tokens of the items they are for.  m substitutions in L tokens leave a run of
-#: at least (L - m) / (m + 1) equal ones: with a fifth substituted 3 in items of 10 to 18 tokens, 4 in longer ones.
-DENSE = {"111": (10, 18), "1111": (19, None)}
-#: Items shorter than the longest mask are also sought whole, from this many tokens on; shorter items are ignored.
-LEAST_TOKENS = 5
+#: Selected positions are 1.  By the least and the most tokens of the items that they are for.
+MASKS = {
+    (14, None): tuple("111" + "0" * (3 * gap - 3) + "111" for gap in range(1, 6)),
+    (9, 13): tuple("11" + "00" * a + "11" + "00" * b + "11" for a in range(3) for b in range(3 - a)),
+    (5, 8): ("1111", "10111", "11011", "11101"),
+    (4, 4): ("1111",), (3, 3): ("111",), (2, 2): ("11",), (1, 1): ("1",),
+}
 #: A verified segment has this many tokens (or this share of a shorter item) and this share of equal ones.
 SEGMENT_TOKENS = 20
 SEGMENT_SHARE = 0.8
 IDENTITY = 0.8
-#: Characters of benchmark text that go to every task at a time.
-BLOCK_CHARS = 20_000_000
-#: Seed hits, and compared tokens, that a task holds at a time.
-HITS = 1_000_000
+#: Items of more tokens are compared in parts of so many, which overlap by more than twice a segment, so that none is lost
+#: (a longer segment holds one of 20 to 39 tokens that meets the rule).
+PART_TOKENS, PART_OVERLAP = 1024, 64
+#: Windows of a document whose hits go into one row, with the tokens around them.
+CORE_TOKENS = 2048
+#: Bits of the filter for each hash of the benchmark, bits of it at most, and bits that each hash sets.
+BITS_PER_HASH, MOST_BITS, PROBES = 64, 1 << 28, 6
 
-_SLOTS = 1 << 22
-_RESULT = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("tokens", pa.int64()), ("equal", pa.int64()), ("item_share", pa.float64())])
-_RESULT_DDL = "array<struct<item_id:bigint,start:bigint,tokens:bigint,equal:bigint,item_share:double>>"
+_LONGEST = max(len(m) for masks in MASKS.values() for m in masks)
 
 
 def _positions(mask: str) -> list[int]:
     return [k for k, c in enumerate(mask) if c == "1"]
 
 
-@dataclass
-class SeedIndex:
-    """Tokens of the benchmark's items and, for each mask, its window hashes in order with the item and place of each."""
-
-    item_ids: list[int]
-    tokens: list[np.ndarray]
-    seeds: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-
-def build_index(items: list[tuple[int, str]]) -> SeedIndex:
-    texts = pa.array([t for _, t in items], pa.large_string())
-    tokens: list[np.ndarray] = []
-    for _, h, offsets, _ in word_blocks(texts):
-        tokens.extend(h[a:b].copy() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-    longest = max(map(len, MASKS))
-    short = sorted({len(t) for t in tokens if LEAST_TOKENS <= len(t) < longest})
-    sizes = {mask: (0, None) for mask in MASKS} | DENSE | {"1" * n: (n, n) for n in short}
-    seeds = {}
-    for mask, (least, most) in sizes.items():
-        hashes, owner, place = [], [], []
-        for k, t in enumerate(tokens):
-            if len(t) < least or (most is not None and len(t) > most):
-                continue
-            h = window_hash(t, _positions(mask))
-            hashes.append(h)
-            owner.append(np.full(len(h), k))
-            place.append(np.arange(len(h)))
-        if hashes and sum(map(len, hashes)):
-            h, o, p = map(np.concatenate, (hashes, owner, place))
-            order = np.argsort(h, kind="stable")
-            seeds[mask] = h[order], o[order], p[order]
-    return SeedIndex([i for i, _ in items], tokens, seeds)
+def masks_for(size: int) -> tuple[str, ...]:
+    """The masks for an item of ``size`` tokens."""
+    return next((masks for (least, most), masks in MASKS.items() if size >= least and (most is None or size <= most)), ())
+
+
+def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
+    """A hash of each window of the mask's length, which depends on the mask too."""
+    return mix(window_hash(words, _positions(mask)) + np.uint64(int("1" + mask, 2)))
+
+
+# ---- tokens ----------------------------------------------------------------------------------------------------------
+
+
+def token_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokens: runs of ASCII letters, digits and non-ASCII characters.
+
+    In scripts without spaces (Chinese characters and kana, Thai, Lao, Burmese, Khmer) each character is a token.
+    """
+    starts, ends = text_word_spans(raw, offsets)
+    if not len(raw) or raw.max() < 0xE0:
+        return starts, ends
+    following = np.append(raw[1:], 0)
+    south_east = ((raw == 0xE0) & (following >= 0xB8) & (following <= 0xBB)) | ((raw == 0xE1) & np.isin(following, (0x80, 0x81, 0x82, 0x9E, 0x9F)))
+    lead = np.flatnonzero(((raw >= 0xE3) & (raw <= 0xE9)) | south_east)
+    cuts = np.unique(np.concatenate([lead, lead + 3]))
+    at = np.searchsorted(starts, cuts, "right") - 1
+    cuts, at = cuts[at >= 0], at[at >= 0]
+    cuts = cuts[(cuts > starts[at]) & (cuts < ends[at])]
+    return np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+
+
+def token_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, hash of each token in lower case, offsets of the texts in them); a long text comes in pieces."""
+    for lo, raw, offsets in utf8_blocks(column, lower=True):
+        starts, ends = token_spans(raw, offsets)
+        yield lo, hash_spans(raw, starts, ends), np.searchsorted(starts, offsets, "left")
+
+
+def tokens_of(texts: list[str]) -> list[np.ndarray]:
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for lo, words, offsets in token_blocks(pa.array(texts, pa.large_string())):
+        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            out[lo + k].append(words[a:b])
+    return [np.concatenate([np.empty(0, np.uint64), *parts]) for parts in out]
+
+
+def runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs of equal values."""
+    edges = np.flatnonzero(h[1:] != h[:-1]) + 1
+    return np.concatenate([[0], edges]) if len(h) else edges, np.append(edges, len(h)) - 1 if len(h) else edges
+
+
+# ---- verification ----------------------------------------------------------------------------------------------------
 
 
 def best_segment(equal: np.ndarray) -> tuple[int, int]:
@@ -104,7 +136,12 @@ def longest_segment(equal: np.ndarray) -> tuple[int, int]:
 
 def tokens_needed(size: int) -> int:
     """The least tokens of a verified segment of an item of ``size`` tokens."""
-    return min(SEGMENT_TOKENS, math.ceil(SEGMENT_SHARE * size))
+    return min(SEGMENT_TOKENS, math.ceil(Fraction(SEGMENT_SHARE).limit_denominator(1000) * size))
+
+
+def _enough(equal: int, tokens: int) -> bool:
+    share = Fraction(IDENTITY).limit_denominator(1000)
+    return equal * share.denominator >= share.numerator * tokens
 
 
 def verify(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
@@ -118,123 +155,284 @@ def verify(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     for find in (best_segment, longest_segment):
         a, b = find(equal)
         count = int(equal[a:b].sum())
-        if b - a >= needed and count >= IDENTITY * (b - a):
+        if b - a >= needed and _enough(count, b - a):
             return lo + a + diagonal, b - a, count
     return None
 
 
-def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """``n[k]`` whole numbers from ``first[k]`` on, for each k in turn."""
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-
-
-def _slices(n: np.ndarray) -> Iterator[slice]:
-    """Consecutive slices of ``n`` that sum to :data:`HITS` at most, or hold one entry."""
-    total, lo = np.cumsum(n), 0
-    while lo < len(n):
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] - n[lo] + HITS, "right")))
-        yield slice(lo, hi)
-        lo = hi
-
-
-class _Matcher:
-    def __init__(self, index: SeedIndex):
-        self.index = index
-        self.flat = np.concatenate([np.empty(0, np.uint64), *index.tokens])
-        self.sizes = np.array([len(t) for t in index.tokens], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.least = np.array([IDENTITY * tokens_needed(n) for n in self.sizes.tolist()])
-        self.slots = {}
-        for mask, (h, _, _) in index.seeds.items():
-            bits = np.zeros(_SLOTS, bool)
-            bits[(h >> np.uint64(42)).astype(np.int64)] = True
-            self.slots[mask] = bits
-
-    def _hits(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Distinct (document, item, diagonal) of all seed hits."""
-        found = []
-        for mask, (keys, owner, place) in self.index.seeds.items():
-            h = window_hash(words, _positions(mask))
-            at = np.flatnonzero(self.slots[mask][(h >> np.uint64(42)).view(np.int64)])
-            if not len(at):
-                continue
-            lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
-            doc = np.searchsorted(offsets, at, "right") - 1
-            good = (hi > lo) & (at + len(mask) <= offsets[doc + 1])
-            at, lo, n, doc = at[good], lo[good], (hi - lo)[good], doc[good]
-            for s in _slices(n):
-                k = _runs(lo[s], n[s])
-                found.append(self._alike(words, offsets, np.repeat(doc[s], n[s]), owner[k], np.repeat(at[s] - offsets[doc[s]], n[s]) - place[k]))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
-
-    def _alike(self, words: np.ndarray, offsets: np.ndarray, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-        """The distinct hits whose whole diagonal has as many equal tokens as the least verified segment."""
-        order = np.lexsort((diagonal, item, doc))
-        doc, item, diagonal = doc[order], item[order], diagonal[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) != 0)
-        doc, item, diagonal = doc[new], item[new], diagonal[new]
-        lo = np.maximum(0, -diagonal)
-        n = np.minimum(self.sizes[item], offsets[doc + 1] - offsets[doc] - diagonal) - lo
-        count = np.zeros(len(n), np.int64)
-        for s in _slices(n):
-            equal = self.flat[_runs(self.starts[item[s]] + lo[s], n[s])] == words[_runs(offsets[doc[s]] + diagonal[s] + lo[s], n[s])]
-            count[s] = np.add.reduceat(equal, np.cumsum(n[s]) - n[s], dtype=np.int64)
-        good = count >= self.least[item]
-        return np.stack([doc[good], item[good], diagonal[good]], axis=1)
+def best_overlap(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int] | None:
+    """The verified segment of most equal tokens among the diagonals, the first of ties, or None.
+
+    Diagonals go by their number of equal tokens, which no segment exceeds, so few are looked at more closely.
+    """
+    lo, hi = np.maximum(0, -diagonals), np.minimum(len(item), len(doc) - diagonals)
+    count = np.array([int((item[a:b] == doc[a + d : b + d]).sum()) if b > a else 0 for a, b, d in zip(lo.tolist(), hi.tolist(), diagonals.tolist(), strict=True)])
+    best = None
+    for k in np.argsort(-count, kind="stable").tolist():
+        if count[k] < best[2] if best else not _enough(int(count[k]), tokens_needed(len(item))):
+            break
+        found = verify(doc, item, int(diagonals[k]))
+        if found and (best is None or (-found[2], found[0]) < (-best[2], best[0])):
+            best = found
+    return best
+
+
+def diagonals_of(spans: list[dict], doc_size: int, item_size: int) -> np.ndarray:
+    """The diagonals on which equal hashes meet: ``spans`` has the runs of each in the document (``first, last``) and in the
+    item (``a, b``)."""
+    change = np.zeros(doc_size + item_size + 2, np.int64)
+    for x in spans:
+        first, last, a, b = (np.array(x[c]) for c in ("first", "last", "a", "b"))
+        np.add.at(change, (first[:, None] - b[None, :]).reshape(-1) + item_size, 1)
+        np.add.at(change, (last[:, None] - a[None, :]).reshape(-1) + item_size + 1, -1)
+    return np.flatnonzero(np.cumsum(change) > 0) - item_size
+
+
+# ---- tables ----------------------------------------------------------------------------------------------------------
+
+_SEED = pa.struct([("h", pa.int64()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))])
+_SEED_DDL = "struct<h:bigint,first:array<int>,last:array<int>>"
+_PART = pa.struct([("part", pa.int32()), ("tokens", pa.list_(pa.int64())), ("seeds", pa.list_(_SEED))])
+_PARTS_DDL = f"array<struct<part:int,tokens:array<bigint>,seeds:array<{_SEED_DDL}>>>"
+_PIECE = pa.struct([("start", pa.int64()), ("tokens", pa.list_(pa.int64())), ("hits", pa.list_(_SEED))])
+_PIECES_DDL = f"array<struct<start:bigint,tokens:array<bigint>,hits:array<{_SEED_DDL}>>>"
+_OVERLAP = pa.struct([("start", pa.int64()), ("tokens", pa.int64()), ("equal", pa.int64())])
+_OVERLAP_DDL = "struct<start:bigint,tokens:bigint,equal:bigint>"
+
+
+def _by_hash(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[dict]:
+    """A row for each distinct hash with its runs."""
+    order = np.lexsort((first, h))
+    h, first, last = h[order], first[order], last[order]
+    edges = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+    return [{"h": x, "first": first[a:b].tolist(), "last": last[a:b].tolist()} for x, a, b in zip(h[edges[:-1]].view(np.int64).tolist(), edges[:-1], edges[1:], strict=True)] if len(h) else []
+
+
+def item_parts(text: str) -> list[dict]:
+    """The parts of a benchmark text: ``part, tokens, seeds``."""
+    tokens = tokens_of([text])[0]
+    step = PART_TOKENS - PART_OVERLAP
+    starts = range(0, len(tokens) - PART_OVERLAP, step) if len(tokens) > PART_TOKENS else range(min(len(tokens), 1))
+    out = []
+    for k, at in enumerate(starts):
+        part = tokens[at : at + PART_TOKENS]
+        hashes = [seed_hashes(part, mask) for mask in masks_for(len(part))]
+        spans = [(h, *runs(h)) for h in hashes if len(h)]
+        seeds = _by_hash(np.concatenate([h[f] for h, f, _ in spans]), np.concatenate([f for _, f, _ in spans]), np.concatenate([e for *_, e in spans])) if spans else []
+        out.append({"part": k, "tokens": part.view(np.int64), "seeds": seeds})
+    return out
+
+
+def _probes(h: np.ndarray, bits: int) -> np.ndarray:
+    """The bits (a power of two in number) that each hash sets: a row for each of :data:`PROBES`."""
+    step = mix(h + np.uint64(1)) | np.uint64(1)
+    return np.stack([(h + step * np.uint64(k)) & np.uint64(bits - 1) for k in range(PROBES)])
+
+
+def _passing(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of the hashes all of whose bits are set."""
+    mask = np.uint64(len(words) * 64 - 1)
+
+    def isset(b: np.ndarray) -> np.ndarray:
+        return (words[(b >> np.uint64(6)).view(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+
+    at = np.flatnonzero(isset(h & mask))
+    step = mix(h[at] + np.uint64(1)) | np.uint64(1)
+    for k in range(1, PROBES):
+        good = isset((h[at] + step * np.uint64(k)) & mask)
+        at, step = at[good], step[good]
+    return at
+
+
+def filter_of(hashes: np.ndarray) -> np.ndarray:
+    """The filter of known hashes, on one machine."""
+    bits = _bits(len(hashes))
+    out = np.zeros(bits // 64, np.uint64)
+    at = _probes(hashes, bits).reshape(-1)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def _bits(n: int) -> int:
+    return min(MOST_BITS, 1 << max(12, math.ceil(math.log2(max(n, 1) * BITS_PER_HASH))))
+
+
+class Benchmark:
+    """The benchmark as tables: ``parts`` (``uid, tokens``), ``seeds`` (``uid, h, a, b``), both once for parts of equal tokens,
+    and ``items`` (``uid, item_id, text_id, total``: the items that a part belongs to, and their number of tokens)."""
+
+    def __init__(self, benchmark: DataFrame):
+        @F.arrow_udf(_PARTS_DDL)
+        def cut(text: pa.Array) -> pa.Array:
+            return pa.array([item_parts(t.as_py()) for t in text], pa.list_(_PART))
+
+        known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
+        # the number keeps the filter that Spark infers for explode from running the function twice
+        numbered = known.select(F.monotonically_increasing_id().alias("_n"), "item_id", _digest(F.col("text")).alias("text_id"), cut(F.col("text")).alias("p"))
+        parts = numbered.select("_n", "item_id", "text_id", F.explode("p").alias("p")).select("item_id", "text_id", "p.*")
+        uid = F.unhex(F.md5(F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",")))
+        table = materialize(parts.select("item_id", "text_id", "part", uid.alias("uid"), "tokens", "seeds"), "benchmark")
+        size = F.size("tokens") - F.when(F.col("part") > 0, PART_OVERLAP).otherwise(0)
+        totals = table.groupBy("item_id", "text_id").agg(F.sum(size).alias("total"))
+        self.items = table.select("uid", "item_id", "text_id").distinct().join(totals, ["item_id", "text_id"])
+        once = materialize(table.groupBy("uid").agg(F.first("tokens").alias("tokens"), F.first("seeds").alias("seeds")), "benchmark-parts")
+        self.parts = once.select("uid", F.col("tokens").alias("item"))
+        each = once.select("uid", F.explode("seeds").alias("s"))
+        self.seeds = materialize(each.select("uid", "s.h", F.col("s.first").alias("a"), F.col("s.last").alias("b")), "benchmark-seeds")
+        sizes = once.groupBy(F.least(F.size("tokens"), F.lit(14)).alias("size")).agg(F.max(F.size("tokens")).alias("longest")).collect()
+        self.longest = max((r["longest"] for r in sizes), default=0)
+        #: the masks of the sizes that there are, at most those of MASKS
+        self.masks = tuple(dict.fromkeys(m for r in sizes for m in masks_for(r["size"])))
+
+    def filter_words(self) -> np.ndarray:
+        """A Bloom filter of the seeds' hashes, made by Spark; its words of 64 bits, of :data:`MOST_BITS` at most, come to the driver."""
+        bits = _bits(self.seeds.agg(F.approx_count_distinct("h").alias("n")).first()["n"])
+
+        @F.arrow_udf("array<bigint>")
+        def places(h: pa.Array) -> pa.Array:
+            at = _probes(np.asarray(h, np.int64).view(np.uint64), bits)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * PROBES, pa.int32()), pa.array(at.T.reshape(-1).astype(np.int64)))
+
+        each = self.seeds.select(F.monotonically_increasing_id().alias("_n"), places(F.col("h")).alias("b")).select(F.explode("b").alias("b"))
+        words = each.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("v")).toArrow()
+        out = np.zeros(bits // 64, np.uint64)
+        out[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
+        return out
+
+
+class Seeker:
+    """Finds the windows of texts that pass the filter: pieces ``start, tokens, hits``, whose places count from ``start``."""
+
+    def __init__(self, masks: tuple[str, ...], longest: int, words: np.ndarray):
+        self.masks, self.longest, self.words = masks, longest, words
+        self.margin = longest + _LONGEST
+
+    def _pieces(self, tokens: np.ndarray, offsets: np.ndarray, base: int = 0, least: int = 0, most: int | None = None) -> Iterator[tuple[int, dict]]:
+        """(text, piece) of the texts: windows from ``least`` to before ``most``; places of a text count from ``base``."""
+        parts = []
+        for mask in self.masks:
+            h = seed_hashes(tokens, mask)
+            at = _passing(h, self.words) if len(h) else np.empty(0, np.int64)
+            text = np.searchsorted(offsets, at, "right") - 1
+            good = (at + len(mask) <= offsets[text + 1]) & (at >= least)
+            if most is not None:
+                good &= at < most
+            at, text = at[good], text[good]
+            if len(at):
+                core = (at - offsets[text]) // CORE_TOKENS
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(at) != 1) | (h[at[1:]] != h[at[:-1]]) | (np.diff(text) != 0) | (np.diff(core) != 0)
+                k = np.flatnonzero(new)
+                parts.append((text[k], core[k], h[at[k]], at[k], at[np.append(k[1:], len(at)) - 1]))
+        if not parts:
+            return
+        text, core, h, first, last = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((core, text))
+        text, core, h, first, last = text[order], core[order], h[order], first[order], last[order]
+        edges = (np.flatnonzero((np.diff(text) != 0) | (np.diff(core) != 0)) + 1).tolist()
+        for a, b in zip([0, *edges], [*edges, len(first)], strict=True):
+            t = int(text[a])
+            lo = max(int(offsets[t]), int(first[a:b].min()) - self.longest)
+            hi = min(int(offsets[t + 1]), int(last[a:b].max()) + self.margin)
+            yield t, {"start": base + lo - int(offsets[t]), "tokens": tokens[lo:hi].view(np.int64), "hits": _by_hash(h[a:b], first[a:b] - lo, last[a:b] - lo)}
 
     def __call__(self, column: pa.Array) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(column))]
-        for lo, words, offsets, _ in word_blocks(column):
-            best: dict[tuple[int, int], tuple] = {}
-            for doc, item, diagonal in self._hits(words, offsets).tolist():
-                tokens = self.index.tokens[item]
-                segment = verify(words[offsets[doc] : offsets[doc + 1]], tokens, diagonal)
-                if segment is not None and (segment[2], -segment[0]) > best.get((doc, item), ((-1, 0),))[0]:
-                    best[doc, item] = (segment[2], -segment[0]), segment, len(tokens)
-            for (doc, item), (_, (start, n, equal), size) in best.items():
-                out[lo + doc].append({"item_id": self.index.item_ids[item], "start": start, "tokens": n, "equal": equal, "item_share": equal / size})
+        if not self.masks:
+            return out
+        # of a text that comes in pieces, the tokens that later windows and their surroundings still need are carried on
+        last, held, base, done = -1, np.empty(0, np.uint64), 0, 0
+
+        def settle(final: bool) -> None:
+            nonlocal held, base, done
+            ready = len(held) if final else len(held) - self.margin
+            if ready > done:
+                out[last].extend(piece for _, piece in self._pieces(held, np.array([0, len(held)]), base, done, ready))
+                cut = max(0, ready - self.margin)
+                held, base, done = held[cut:].copy(), base + cut, ready - cut
+
+        for lo, tokens, offsets in token_blocks(column):
+            if len(offsets) > 2:
+                for t, piece in self._pieces(tokens, offsets):
+                    out[lo + t].append(piece)
+                continue
+            if lo != last:
+                if last >= 0:
+                    settle(True)
+                last, held, base, done = lo, np.empty(0, np.uint64), 0, 0
+            held = np.concatenate([held, tokens])
+            settle(False)
+        if last >= 0:
+            settle(True)
         return out
 
 
-def overlaps(text: Column, index: SeedIndex) -> Column:
-    """``array<struct<item_id, start, tokens, equal, item_share>>``: the best verified segment for each benchmark item."""
+def document_pieces(text: Column, benchmark: Benchmark) -> Column:
+    """``array<struct<start, tokens, hits>>``: the stretches of a text around windows that pass the benchmark's filter."""
+    words, masks, longest = benchmark.seeds.sparkSession.sparkContext.broadcast(benchmark.filter_words()), benchmark.masks, benchmark.longest
 
-    @F.arrow_udf(_RESULT_DDL)
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = _Matcher(index)
+    @F.arrow_udf(_PIECES_DDL)
+    def seek(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        seeker = Seeker(masks, longest, words.value)
         for batch in batches:
-            yield pa.array(matcher(batch), pa.list_(_RESULT))
+            yield pa.array(seeker(batch), pa.list_(_PIECE))
+
+    return seek(text)
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
 
-    return find(text)
+def _overlaps(docs: DataFrame, bench: Benchmark, key: Column) -> DataFrame:
+    """``row, key, uid, start, tokens, equal`` of verified segments between rows of ``docs`` and parts of the benchmark."""
+    sought = docs.select(F.monotonically_increasing_id().alias("row"), key.alias("key"), document_pieces(F.col("text"), bench).alias("p"))
+    pieces = sought.select("row", "key", F.explode("p").alias("p")).select("row", "key", "p.*")
+    # numbered when the table is written: an attempt that fails leaves nothing in it
+    pieces = materialize(pieces.select(F.monotonically_increasing_id().alias("piece"), "*"), "pieces")
+    hits = pieces.select("piece", F.explode("hits").alias("x")).select("piece", "x.*")
+    met = hits.join(bench.seeds, "h").groupBy("piece", "uid").agg(F.collect_list(F.struct("first", "last", "a", "b")).alias("spans"))
+    pairs = materialize(met, "met").join(bench.parts, "uid")
 
+    @F.arrow_udf(_OVERLAP_DDL)
+    def verified(doc: pa.Array, item: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = []
+        for d, i, x in zip(doc, item, spans, strict=True):
+            d, i = (np.asarray(y.values, np.int64) for y in (d, i))
+            found = best_overlap(d, i, diagonals_of(x.as_py(), len(d), len(i)))
+            rows.append(None if found is None else dict(zip(("start", "tokens", "equal"), found, strict=True)))
+        return pa.array(rows, _OVERLAP)
 
-def indexes(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[SeedIndex]:
-    """The benchmark in blocks, each of about ``block_chars`` characters, that a task can hold."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    size = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(size / block_chars))
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
-        yield build_index(sorted((r["item_id"], r["text"]) for r in rows if r["item_id"] is not None))
+    both = pieces.select("piece", "row", "key", F.col("start").alias("base"), "tokens").join(pairs, "piece")
+    checked = materialize(both.select("row", "key", "uid", "base", verified("tokens", "item", "spans").alias("o")), "overlaps").where(F.col("o").isNotNull())
+    return checked.select("row", "key", "uid", (F.col("base") + F.col("o.start")).alias("start"), F.col("o.tokens").alias("tokens"), F.col("o.equal").alias("equal"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, tokens, equal, item_share``: a row for each document and benchmark item that overlap.
 
-    ``start`` counts the document's tokens, ``item_share`` is the share of the item's tokens that the segment equals.
-    Nulls: null texts overlap nothing, items of a null id or text are ignored; a null ``doc_id`` stays null.  Repeated
-    rows of either table give a row each; empty tables an empty result.  Other columns are ignored.
+    The segment is that of most equal tokens, the first of ties.  ``start`` counts the document's tokens, ``item_share`` is
+    the share of the item's tokens that the segment equals; of an item of more than :data:`PART_TOKENS` tokens it is the
+    segment in one part.  Nulls: null texts overlap nothing, items of a null id or text are ignored; a null ``doc_id``
+    stays null.  Repeated rows of ``docs`` give a row each, repeated benchmark rows count once; empty tables give an empty
+    result.  Very long texts are sought whole, in blocks; other columns are ignored, whatever their names.
+    """
+    bench = Benchmark(benchmark)
+    named = _overlaps(docs, bench, F.col("doc_id")).join(bench.items, "uid")
+    first = F.min(F.struct((-F.col("equal")).alias("less"), "start", "tokens", "equal")).alias("o")
+    best = named.groupBy("row", "key", "item_id", "text_id").agg(first, F.first("total").alias("total"))
+    return best.select(
+        F.col("key").alias("doc_id"), "item_id", F.col("o.start").alias("start"), F.col("o.tokens").alias("tokens"), F.col("o.equal").alias("equal"), (F.col("o.equal") / F.col("total")).alias("item_share")
+    )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns, whatever their names) that overlap no benchmark item.
+
+    A row stays or goes by its text alone, also with a null id; null texts stay; repeated rows are treated alike; an empty
+    table of either kind drops nothing.  What goes is a table of text digests, broadcast only if Spark finds it small.
     """
-    parts = []
-    for index in indexes(benchmark, block_chars):
-        found = docs.select(F.col("doc_id"), overlaps(F.col("text"), index).alias("o"))
-        parts.append(found.select("doc_id", F.explode("o").alias("o")).select("doc_id", "o.*"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` (all columns) that overlap no benchmark item."""
-    for index in indexes(benchmark, block_chars):
-        docs = docs.where(F.size(overlaps(F.col("text"), index)) == 0)
-    return docs
+    found = _overlaps(docs, Benchmark(benchmark), _digest(F.col("text")))
+    name = next(c for c in ("digest", *(f"digest_{k}" for k in range(len(docs.columns) + 1))) if c not in docs.columns)
+    gone = materialize(found.select(F.col("key").alias(name)).distinct(), "contaminated")
+    return docs.withColumn(name, _digest(F.col("text"))).join(gone, name, "left_anti").drop(name)
