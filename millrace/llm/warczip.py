@@ -8,7 +8,10 @@ ranges of the records asked for.
 
 Packages are written by tasks under names of their own attempt into the shared folder; only those in the manifest, a table
 that Spark commits, count, so retried or doubled tasks leave nothing in the result.  Files are opened through Arrow's file
-systems (local paths, HDFS and object stores by URI).
+systems; the folder's full URI is Hadoop's, so a path without a scheme is where Spark's own tables would be.
+
+Payloads are compressed slice by slice into the package and fetched record by record, so memory is bounded by a few copies
+of the longest payload.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, scratch_path
@@ -37,12 +40,21 @@ PACKAGE_CHARS = 16_000_000
 PACKAGE_RECORDS = 4_000
 #: Neighbouring records are fetched together up to this many bytes.
 FETCH_BYTES = 1 << 20
+#: Characters of a payload that are encoded at a time, and payload bytes of one batch of records read.
+SLICE_CHARS = 1 << 18
+BATCH_BYTES = 1 << 24
 
 # ---- fixed values of the ZIP format ------------------------------------------------------------------------------------
 EOCD, EOCD64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 FULL16, FULL32, EXTRA64 = 0xFFFF, 0xFFFFFFFF, 0x0001
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark itself would use for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def open_path(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in path and not path.startswith("file:"):
         return pafs.LocalFileSystem(), path
@@ -190,16 +202,25 @@ class WarcPackage:
 # ---- writing -----------------------------------------------------------------------------------------------------------
 
 
-def record_bytes(row: dict) -> bytes:
-    """A response record with its payload, or a revisit record that names the response it repeats."""
-    payload = (row["html"] or "").encode("utf-8")
-    digest = hashlib.sha256(payload).hexdigest()
+def _urn(page_id) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+
+
+def record_chunks(row: dict) -> Iterator[bytes]:
+    """A response record with its payload, or a revisit record that names the response it repeats.
+
+    ``payload_bytes`` and ``payload_digest`` of the row, where it has them, are not computed again.
+    """
+    html = row["html"] or ""
+    size, digest = row.get("payload_bytes"), row.get("payload_digest")
+    if size is None or digest is None:
+        payload = html.encode("utf-8")
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
     revisit = row["record_type"] == "revisit"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     headers = {
         "WARC-Type": row["record_type"],
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{row["page_id"]}')}>",
+        "WARC-Record-ID": _urn(row["page_id"]),
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Target-URI": (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Payload-Digest": f"sha256:{digest}",
@@ -207,9 +228,23 @@ def record_bytes(row: dict) -> bytes:
         "X-Page-ID": "" if row["page_id"] is None else str(row["page_id"]),
     }
     if revisit:
-        headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{row["refers_to"]}')}>", "X-Refers-To-Page-ID": str(row["refers_to"])}
-    headers["Content-Length"] = str(len(block))
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()).encode("utf-8") + b"\r\n" + block + b"\r\n\r\n"
+        headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _urn(row["refers_to"]), "X-Refers-To-Page-ID": str(row["refers_to"])}
+    headers["Content-Length"] = str(len(http) + (0 if revisit else size))
+    yield b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()).encode("utf-8") + b"\r\n" + http
+    if not revisit:
+        for at in range(0, len(html), SLICE_CHARS):
+            yield html[at : at + SLICE_CHARS].encode("utf-8")
+    yield b"\r\n\r\n"
+
+
+def gzip_member(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The chunks as one gzip member."""
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    for chunk in chunks:
+        packed = packer.compress(chunk)
+        if packed:
+            yield packed
+    yield packer.flush()
 
 
 class ZipWriter:
@@ -254,12 +289,13 @@ def write_package(out, rows: Iterator[dict]) -> int:
     def members() -> Iterator[bytes]:
         nonlocal at
         for row in rows:
-            packed = gzip.compress(record_bytes(row), 1, mtime=0)
-            entry = {"offset": at, "length": len(packed), "mime": "warc/revisit" if row["record_type"] == "revisit" else "text/html", "url": row["url"]}
+            first = at
+            for packed in gzip_member(record_chunks(row)):
+                at += len(packed)
+                yield packed
+            entry = {"offset": first, "length": at - first, "mime": "warc/revisit" if row["record_type"] == "revisit" else "text/html", "url": row["url"]}
             key = "".join((row["url"] or "-").split()) or "-"
             lines.append(f"{key} 19700101000000 {json.dumps(entry)}".encode())
-            at += len(packed)
-            yield packed
 
     writer = ZipWriter(out)
     writer.add(DATA_MEMBER, members())
@@ -272,22 +308,24 @@ def write_package(out, rows: Iterator[dict]) -> int:
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """``page_id, url, html, record_type, refers_to``: which pages repeat the payload of one with a smaller id.
+    """``page_id, url, html, payload_bytes, payload_digest, record_type, refers_to``: which pages repeat the payload of one
+    with a smaller id.
 
-    Only digests are grouped; payloads of a row each join the few digests that more than one id has, by a join whose hot
-    keys adaptive execution can split.
+    Only digests are grouped.  Those that more than one id has are a table, which Spark broadcasts if it is small; beyond its
+    limit every payload moves once, to join it, and adaptive execution splits the hot digests.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    small = F.octet_length(payload) < least_bytes
+    sized = pages.select("page_id", "url", "html", F.octet_length(payload).cast("bigint").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
+    small = F.col("payload_bytes") < least_bytes
     # small payloads get a key of their own row's making (of another length), so they meet nothing and no partition is hot
     alone = F.unhex(F.md5(F.concat_ws(" ", F.col("page_id").cast("string"), F.monotonically_increasing_id().cast("string"))))
-    keyed = pages.select("page_id", "url", "html", F.when(small, alone).otherwise(F.unhex(F.sha2(payload, 256))).alias("_digest"))
-    first = pages.where(~small).select("page_id", F.unhex(F.sha2(payload, 256)).alias("_digest")).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("n"))
+    keyed = sized.withColumn("_digest", F.when(small, alone).otherwise(F.unhex("payload_digest")))
+    first = sized.where(~small).groupBy(F.unhex("payload_digest").alias("_digest")).agg(F.min("page_id").alias("_first"), F.count("*").alias("n"))
     repeated = materialize(first.where((F.col("n") > 1) & F.col("_first").isNotNull()).select("_digest", "_first"), "repeated")
     joined = keyed.join(repeated, "_digest", "left")
     revisits = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return joined.select(
-        "page_id", "url", "html", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("_first")).alias("refers_to")
+        "page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("_first")).alias("refers_to")
     )
 
 
@@ -296,9 +334,10 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
 
     Each task fills packages of a bounded size one after another.
     """
+    folder = qualified(pages.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for k in range(0, batch.num_rows, 500) for row in batch.slice(k, 500).to_pylist())
+        rows = (batch.slice(k, 1).to_pylist()[0] for batch in batches for k in range(batch.num_rows))
         ahead = next(rows, None)
         done = []
         while ahead is not None:
@@ -318,7 +357,7 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
                 done.append((path, write_package(out, package())))
         yield pa.record_batch([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "records"])
 
-    columns = pages.select("page_id", "url", "html", "record_type", "refers_to")
+    columns = pages.select("page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return materialize(columns.mapInArrow(write, "path string, records bigint"), "manifest")
 
 
@@ -338,32 +377,62 @@ def _row(headers: dict[str, str], block: bytes) -> tuple:
     return number("x-page-id"), headers["warc-target-uri"], body, int(http["content-length"]), digest, headers["warc-type"], number("x-refers-to-page-id")
 
 
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Record batches of a bounded number of payload bytes."""
+    held: list[tuple] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        columns = zip(*held, strict=True) if held else ([] for _ in _RECORD)
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _RECORD, strict=True)], schema=_RECORD)
+
+    for row in rows:
+        held.append(row)
+        size += row[3]
+        if size >= BATCH_BYTES:
+            yield flush()
+            held, size = [], 0
+    yield flush()
+
+
 def read_packages(manifest: DataFrame, slice_records: int = 1000) -> DataFrame:
     """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` of every record of the packages.
 
-    Each task reads slices of a package's index and then only the ranges of its records.  A revisit record has no payload
-    of its own (null); its size and digest are those of the full payload.
+    Slices of the packages' indexes are dealt to a number of tasks that is fixed beforehand (adaptive execution would put
+    all slices, which are rows of some bytes, into one task): a task for each slice, up to eight for each core.  A task reads
+    its slices' part of the index and then only the ranges of their records.  A response's digest is checked; a revisit
+    record has no payload of its own (null), its size and digest are those of the full payload (see
+    :func:`broken_revisits`).
     """
+    spark = manifest.sparkSession
     slices = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("records") - 1, F.lit(0)), F.lit(slice_records))).alias("first"))
+    number = manifest.agg(F.sum(F.ceil(F.greatest(F.col("records"), F.lit(1)) / slice_records)).alias("n")).first()["n"] or 1
+    tasks = int(max(1, min(number, 8 * spark.sparkContext.defaultParallelism)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in batch.to_pylist():
                 system, name = open_path(piece["path"])
                 with system.open_input_file(name) as source:
-                    rows = [_row(*r) for r in WarcPackage(source).records(piece["first"], slice_records)]
-                columns = zip(*rows, strict=True) if rows else ([] for _ in _RECORD)
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _RECORD, strict=True)], schema=_RECORD)
+                    yield from _batches(_row(*r) for r in WarcPackage(source).records(piece["first"], slice_records))
+
+    return slices.repartition(tasks, "path", "first").mapInArrow(read, _RECORD_DDL)
+
 
-    return slices.repartition(F.col("path"), F.col("first")).mapInArrow(read, _RECORD_DDL)
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """Revisit records (``page_id, refers_to``) whose response is missing or has another size or digest."""
+    own = records.where("record_type = 'revisit'").select("page_id", "refers_to", F.col("payload_bytes").alias("_n"), F.col("payload_digest").alias("_d"))
+    responses = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_n"), F.col("payload_digest").alias("_d")).distinct()
+    return own.join(responses, ["refers_to", "_n", "_d"], "left_anti").select("page_id", "refers_to")
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes ``pages`` to packages and returns the records read back from them.
 
     Nulls: a null ``html`` is an empty payload, a null ``url`` an empty target; a null ``page_id`` stays null, and such a
-    row revisits the least id of an equal payload (with no such id it is a response).  Rows that repeat the least id with
-    an equal payload are all responses.  An empty table gives an empty result; other columns are ignored.
+    row revisits the least id of an equal payload (with no such id it is a response).  Ties: rows that repeat the least id
+    with an equal payload are all responses.  A payload of any length is a record of its own.  An empty table gives an empty
+    result; other columns are ignored, whatever their names.
     """
     folder = folder or scratch_path(pages.sparkSession, "packages")
     return read_packages(write_packages(with_revisits(pages), folder))

@@ -134,5 +134,31 @@ def test_pages_round_trip(spark, tmp_path):
         assert (r.record_type, r.refers_to) == (("revisit", 3) if revisit else ("response", None))
         assert r.payload == (None if revisit else text[r.page_id])
     assert w.archive_and_read(df.limit(0)).count() == 0
+    assert w.broken_revisits(w.archive_and_read(df)).count() == 0
     small = w.read_packages(w.write_packages(w.with_revisits(df), f"file://{tmp_path}/again"), 2)
     assert small.count() == len(rows)
+
+
+def test_reading_is_dealt_to_many_tasks_and_paths_are_those_of_spark(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.range(900).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.concat(F.lit("page "), "id").alias("html"))
+    manifest = w.write_packages(w.with_revisits(df), f"{tmp_path}/plain")
+    assert all(r.path.startswith("file:") for r in manifest.collect()) and list((tmp_path / "plain").iterdir())
+    read = w.read_packages(manifest, 10)
+    assert read.groupBy(F.spark_partition_id()).count().count() > 8 and read.count() == 900
+    broken = read.withColumn("record_type", F.when(F.col("page_id") < 2, "revisit").otherwise("response")).withColumn("refers_to", F.lit(5))
+    assert sorted(r.page_id for r in w.broken_revisits(broken).collect()) == [0, 1]
+
+
+def test_a_long_payload_is_compressed_in_slices():
+    import tracemalloc
+
+    row = _row(1, "<p>é a long page</p>\n" * 2_000_000)
+    tracemalloc.start()
+    data = _package([row])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * len(row["html"].encode())
+    headers, block = w.WarcPackage(Source(data)).record(w.WarcPackage(Source(data)).index[0])
+    assert w.split_http(block)[1].decode() == row["html"]
