@@ -61,3 +61,24 @@ def test_empty_tables_and_null_rules(spark):
     assert u.judge(pages, spark.createDataFrame(RULES, "host string, path string, verdict string")).count() == 0
     long = "http://" + "a." * 5000 + "net/" + "p/" * 50_000
     assert run(spark, [(1, long)], RULES) == Counter([(1, *brute(long, RULES))])
+
+
+def test_path_rules_of_one_host_nest():
+    draw = random.Random(5)
+    paths = sorted({"/" + "".join(draw.choice("ab/") for _ in range(draw.randint(0, 8))) for _ in range(300)})
+    host = u.HostRules("k")
+    for p in paths:
+        host.add(p, (len(p),))
+    for _ in range(500):
+        asked = "/" + "".join(draw.choice("ab/c") for _ in range(draw.randint(0, 12)))
+        want = max((len(p) for p in paths if asked.startswith(p)), default=None)
+        got = host.longest(asked)
+        assert (got and got[0]) == want
+
+
+def test_rows_that_repeat_are_spread_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(u, "STRETCH_ROWS", 100)
+    pages = spark.range(4000).selectExpr("cast(1 as bigint) page_id", "'http://hot.example.net/en/x' url")
+    out = u.judge(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    sizes = [r["count"] for r in out.withColumn("p", __import__("pyspark").sql.functions.spark_partition_id()).groupBy("p").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1500 and {r.rule for r in out.distinct().collect()} == {"example.net/en/"}
