@@ -5,7 +5,9 @@ bytes are in the vocabulary waits in the bucket of its merge rank.  Three levels
 find-first-set at each level gives the lowest rank.  All positions of that bucket merge in one vectorised step, leftmost
 first where they overlap; entries whose pair has changed since are stale and are skipped.  Pre-tokens do not touch each
 other, so this equals merging each alone; should a vocabulary let a merge open a pair of a lower rank, the pre-tokens
-concerned are merged again alone, strictly one step at a time.  A pre-token of megabytes is no special case.
+concerned are merged again alone, strictly one step at a time.  A pre-token of megabytes is no special case; it takes some
+thirty bytes of memory for each of its own.  Other long texts pass in slices of pre-tokens, whose ids are hashed or put into
+arrays as they come.
 
 Pre-tokens repeat, so every task keeps the encodings of those it has seen; the memory of that table is bounded: when it is
 full, the half that was learned last goes.
@@ -32,6 +34,9 @@ CACHE_LENGTH = 64
 #: Characters of text whose new pre-tokens are merged together, and from how many on that is worth it.
 BLOCK_CHARS = 4_000_000
 TOGETHER = 500
+#: Longer texts are encoded by themselves, in slices of so many pre-tokens.
+LONG_CHARS = 1_000_000
+SLICE_PRETOKENS = 200_000
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -99,9 +104,10 @@ class ByteBPE:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.decimals = {str(rank).encode(): token for token, rank in ranks.items()}
-        self.split = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.split, self.each = compiled.findall, compiled.finditer
         self.known: dict[str, bytes] = {}
-        self.bytes_to_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.bytes_to_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         # every pair of tokens whose bytes together are a token
         pairs, joined = [], []
         for token, rank in ranks.items():
@@ -160,10 +166,13 @@ class ByteBPE:
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each joined pair, -1 where it is none; marks are negative and join with nothing."""
-        key = (left << np.int64(32)) | (right & np.int64(0xFFFFFFFF))
-        at = np.searchsorted(self.pairs, key)
-        at[at == len(self.pairs)] = 0
-        return np.where(self.pairs[at] == key, self.joined[at], -1)
+        out = np.empty(len(left), np.int32)
+        for k in range(0, len(left), 1 << 20):
+            key = (left[k : k + (1 << 20)].astype(np.int64) << np.int64(32)) | (right[k : k + (1 << 20)] & np.int64(0xFFFFFFFF))
+            at = np.searchsorted(self.pairs, key)
+            at[at == len(self.pairs)] = 0
+            out[k : k + (1 << 20)] = np.where(self.pairs[at] == key, self.joined[at], -1)
+        return out
 
     @staticmethod
     def _push(queue: RankQueue, ranks: np.ndarray, positions: np.ndarray) -> None:
@@ -182,9 +191,9 @@ class ByteBPE:
         n = len(raw)
         ids = self.bytes_to_id[raw]
         ids[marks] = -1
-        following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         following[-1] = n - 1
-        pair_rank = np.full(n, -1)
+        pair_rank = np.full(n, -1, np.int32)
         pair_rank[:-1] = self._pair_ranks(ids[:-1], ids[1:])
         alive, starting = np.ones(n, bool), np.zeros(n, bool)
         queue, again = RankQueue(), []
@@ -244,9 +253,8 @@ class ByteBPE:
             out[k] = ids
         return out
 
-    def encode_block(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as decimals joined by one space."""
-        split = [self.split(t) for t in texts]
+    def _joined(self, split: list[list[str]]) -> Iterator[bytes]:
+        """The ids of each list of pre-tokens as decimals joined by one space."""
         if len(self.known) > CACHE_ENTRIES:  # what was seen first is what is seen often
             self.known = dict(islice(self.known.items(), CACHE_ENTRIES // 2))
         known = self.known
@@ -261,18 +269,40 @@ class ByteBPE:
                 if len(t) > CACHE_LENGTH:
                     known.pop(t, None)
 
-    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+    def slices(self, texts: Iterable[str]) -> Iterator[tuple[bytes, bool]]:
+        """(ids as decimals joined by one space, whether the text ends) of every text in turn; a long one in several slices."""
         block, size = [], 0
         for t in texts:
-            block.append(t)
-            size += len(t)
-            if size >= BLOCK_CHARS:
-                yield from self.encode_block(block)
-                block, size = [], 0
-        yield from self.encode_block(block)
+            if len(t) <= LONG_CHARS:
+                block.append(t)
+                size += len(t)
+                if size < BLOCK_CHARS:
+                    continue
+            for joined in self._joined([self.split(x) for x in block]):
+                yield joined, True
+            block, size = [], 0
+            if len(t) > LONG_CHARS:
+                found = self.each(t)
+                tokens = [m.group() for m in islice(found, SLICE_PRETOKENS)]
+                while tokens:
+                    ahead = [m.group() for m in islice(found, SLICE_PRETOKENS)]
+                    for joined in self._joined([tokens]):
+                        yield joined, not ahead
+                    tokens = ahead
+        for joined in self._joined([self.split(x) for x in block]):
+            yield joined, True
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Each text's ids as decimals joined by one space."""
+        parts: list[bytes] = []
+        for joined, ends in self.slices(texts):
+            parts.append(joined)
+            if ends:
+                yield parts[0] if len(parts) == 1 else b" ".join(parts)
+                parts = []
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for joined in self.encode_block([text]) for x in joined.split()]
+        return [int(x) for joined in self.encode_all([text]) for x in joined.split()]
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -295,10 +325,12 @@ def encode_column(text: Column, path: str | None = None, pattern: str | None = N
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            counts, flat = [0], []
-            for joined in bpe.encode_all((t.as_py() or "" for t in batch)):
+            counts, flat, size = [0], [], 0
+            for joined, ends in bpe.slices(t.as_py() or "" for t in batch):
                 flat.append(np.array(joined.split(), np.int32) if joined else np.empty(0, np.int32))
-                counts.append(counts[-1] + len(flat[-1]))
+                size += len(flat[-1])
+                if ends:
+                    counts.append(size)
             values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32))
             yield pa.ListArray.from_arrays(pa.array(counts, pa.int32()), values)
 
@@ -321,18 +353,27 @@ def decode_column(ids: Column, path: str | None = None, pattern: str | None = No
 _DIGEST = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def _digest(bpe: ByteBPE, joined: bytes) -> tuple[int, str, str]:
-    ids = joined.split()
-    decoded = b"".join(map(bpe.decimals.__getitem__, ids))
-    return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()
+def _digests(bpe: ByteBPE, texts: Iterable[str]) -> Iterator[tuple[int, str, str]]:
+    """(number of ids, hash of their decimals, hash of the decoded bytes) of each text, slice by slice."""
+    n, ids_hash, decoded_hash = 0, hashlib.sha256(), hashlib.sha256()
+    for joined, ends in bpe.slices(texts):
+        ids = joined.split()
+        if n:
+            ids_hash.update(b" ")
+        ids_hash.update(joined)
+        decoded_hash.update(b"".join(map(bpe.decimals.__getitem__, ids)))
+        n += len(ids)
+        if ends:
+            yield n, ids_hash.hexdigest(), decoded_hash.hexdigest()
+            n, ids_hash, decoded_hash = 0, hashlib.sha256(), hashlib.sha256()
 
 
 def digest_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: every text encoded and its ids decoded again.
 
     Nulls: a null text is an empty one (no ids, the hashes of nothing); a null id stays null.  Repeated rows are encoded
-    each, an empty table gives an empty result, other columns are ignored whatever their names.  Texts of any length are
-    encoded whole.  The ids themselves stay in the worker; :func:`encode_column` returns them.
+    each, equal texts alike; an empty table gives an empty result, other columns are ignored whatever their names.  Texts
+    of any length are encoded whole, long ones slice by slice.  The ids themselves stay in the worker; :func:`encode_column` returns them.
     """
     path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
 
@@ -340,7 +381,7 @@ def digest_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            rows = [_digest(bpe, joined) for joined in bpe.encode_all(t.as_py() or "" for t in batch)]
+            rows = list(_digests(bpe, (t.as_py() or "" for t in batch)))
             columns = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _DIGEST, strict=True)], names=_DIGEST.names)
 

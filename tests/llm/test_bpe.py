@@ -80,3 +80,14 @@ def test_a_full_cache_starts_anew(ours, library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
     for text in ("one two three four five six seven eight", "nine ten eleven", "one nine"):
         assert ours.encode(text) == library.encode_ordinary(text)
+
+
+def test_long_texts_in_slices_equal_the_library(ours, library, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG_CHARS", 50)
+    monkeypatch.setattr(bpe, "SLICE_PRETOKENS", 7)
+    draw = random.Random(9)
+    texts = ["".join(draw.choice(ALPHABET) for _ in range(draw.randint(0, 200))) for _ in range(300)]
+    for text, joined, digest in zip(texts, ours.encode_all(texts), bpe._digests(ours, texts), strict=True):
+        ids = library.encode_ordinary(text)
+        assert [int(x) for x in joined.split()] == ids
+        assert digest == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
