@@ -214,20 +214,26 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(h)
 
 
+def block_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """(hash of each lower-cased word, offsets of the texts in them, (bytes in lower case, starts, ends))."""
+    if len(raw):
+        raw, offsets = _lowered(raw, offsets)
+        starts, ends = text_word_spans(raw, offsets)
+        h = hash_spans(raw, starts, ends)
+    else:
+        starts = ends = np.empty(0, np.int64)
+        h = np.empty(0, np.uint64)
+    return h, np.searchsorted(starts, offsets, "left"), (raw, starts, ends)
+
+
 def word_blocks(column: pa.Array, block: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple]]:
     """(first text, hash of each lower-cased word, offsets of the texts in them, (bytes, starts, ends)).
 
     A word is a run of ASCII letters and digits and of any non-ASCII characters.  A text of more than a block comes in
     pieces, several blocks of its number.
     """
-    for lo, raw, offsets in utf8_blocks(column, block, lower=True):
-        if len(raw):
-            starts, ends = text_word_spans(raw, offsets)
-            h = hash_spans(raw, starts, ends)
-        else:
-            starts = ends = np.empty(0, np.int64)
-            h = np.empty(0, np.uint64)
-        yield lo, h, np.searchsorted(starts, offsets, "left"), (raw, starts, ends)
+    for lo, raw, offsets in utf8_blocks(column, block):
+        yield (lo, *block_words(raw, offsets))
 
 
 def whole_word_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

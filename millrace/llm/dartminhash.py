@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, mix, window_hash, word_blocks
+from millrace.llm.common import materialize, mix, whole_word_blocks, window_hash
 from millrace.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -36,6 +36,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 #: Members of a bucket in a block of the second step.
 BLOCK_MEMBERS = 256
+#: Elements whose darts are thrown at a time.
+THROWN = 1 << 16
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(16)])
 _UNIT = 1.0 / (1 << 53)
@@ -89,13 +91,15 @@ def signatures(element: np.ndarray, weight: np.ndarray, text: np.ndarray, n_text
     limit[todo] = (k * math.log(k) + 2 * k) / total[todo]
     member = np.ones(len(element), bool)
     while len(todo):
-        own = np.flatnonzero(member)
-        owner, rank, dart = _darts(element[own], weight[own], limit[text[own]])
-        slot = text[own[owner]] * k + (_salted(dart.copy(), 5) % np.uint64(k)).astype(np.int64)
         best = np.full(n_texts * k, np.inf)
-        np.minimum.at(best, slot, rank)
-        won = rank == best[slot]
-        out.reshape(-1)[slot[won]] = dart[won]
+        every = np.flatnonzero(member)
+        for at in range(0, len(every), THROWN):
+            own = every[at : at + THROWN]
+            owner, rank, dart = _darts(element[own], weight[own], limit[text[own]])
+            slot = text[own[owner]] * k + (_salted(dart.copy(), 5) % np.uint64(k)).astype(np.int64)
+            np.minimum.at(best, slot, rank)
+            won = rank == best[slot]
+            out.reshape(-1)[slot[won]] = dart[won]
         empty = np.isinf(best.reshape(n_texts, k)[todo]).any(axis=1)
         todo = todo[empty]
         limit[todo] *= 2
@@ -118,6 +122,9 @@ def _shingles(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _counted(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (hash, text) with the number of each."""
+    if len(text) and text[0] == text[-1]:  # one text, perhaps a very long one
+        h, count = np.unique(h, return_counts=True)
+        return h, np.full(len(h), text[0]), count.astype(float)
     order = np.lexsort((h, text))
     h, text = h[order], text[order]
     first = np.ones(len(h), bool)
@@ -140,7 +147,7 @@ def bands(text: Column, n_bands: int = BANDS, rows: int = ROWS) -> Column:
     def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             sizes, flat = np.zeros(len(batch), np.int64), []
-            for lo, words, offsets, _ in word_blocks(batch):
+            for lo, words, offsets in whole_word_blocks(batch):
                 h, owner, weight = _counted(*_shingles(words, offsets))
                 n = len(offsets) - 1
                 full = np.bincount(owner, minlength=n) > 0
@@ -160,7 +167,7 @@ def weighted_shingles(text: Column) -> Column:
     def elements(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             sizes, flat = np.zeros(len(batch), np.int64), []
-            for lo, words, offsets, _ in word_blocks(batch):
+            for lo, words, offsets in whole_word_blocks(batch):
                 h, owner, weight = _counted(*_shingles(words, offsets))
                 count = weight.astype(np.int64)
                 each = _salted(np.repeat(h, count), _ranges(count).astype(np.uint64))
@@ -182,9 +189,10 @@ class _Verifier:
     """Exact similarities of pairs of nodes; texts are read again only for the nodes that are in a shared bucket."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, members: DataFrame):
+        # of each node one row's text is wanted: that of its least id, or any where all its ids are null
         wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-        texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-        found = texts.join(wanted, "doc_id").where(_node(F.col("text")) == F.col("node"))
+        texts = docs.select("doc_id", "text", _node(F.col("text")).alias("_n"))
+        found = texts.join(wanted.withColumnRenamed("doc_id", "_d"), (F.col("_n") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("_d")))
         self.shingles = materialize(found.groupBy("node").agg(F.first("text").alias("text")).select("node", weighted_shingles(F.col("text")).alias("s")), "shingles")
 
     def __call__(self, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -238,9 +246,10 @@ def _links_of_rest(rest: DataFrame, others: DataFrame, similarity: float) -> Dat
                 for key, a, b in zip(keys, np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
                     yield (*key, values[a:b])
 
-        found = [link for _, cell in groupby(rows(), key=itemgetter(0, 1, 2)) for link in _cell_links([r[3:] for r in cell], similarity)]
-        found = list(dict.fromkeys((min(f), max(f)) for f in found))
-        yield pa.record_batch([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        for _, cell in groupby(rows(), key=itemgetter(0, 1, 2)):
+            found = list(dict.fromkeys((min(f), max(f)) for f in _cell_links([r[3:] for r in cell], similarity)))
+            if found:
+                yield pa.record_batch([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     cells = x.unionByName(y).repartition(F.col("band"), F.col("x"), F.col("y")).sortWithinPartitions("band", "x", "y")
     return cells.mapInArrow(compare, "a binary, b binary")
@@ -251,7 +260,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
 
     Their connected components are those of all similar pairs that share a bucket.
     """
-    placed = nodes.where(F.col("doc_id").isNotNull()).select("node", F.explode("bands").alias("band"))
+    placed = nodes.select("node", F.explode("bands").alias("band"))
     counted = placed.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("n"))
     shared = materialize(counted.where(F.col("x") != F.col("y")).select("band", "n"), "shared")
     members = materialize(placed.join(shared, "band"), "members")
@@ -289,8 +298,12 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     ``is_kept`` marks rows whose id is the class id and whose text is that id's text in the class.
 
     Nulls and odd rows: a null text is an empty one; texts without any word are copies of equal texts only.  A row with a
-    null id takes part through equal texts only, and its class id is the least id among those or null.  Repeated rows
-    share a class and the mark.  An empty table gives an empty result; other columns are ignored.
+    null id takes part as any other; the id of a class is its least one that is not null, or null without one.  Ties:
+    repeated rows share a class and the mark.  A very long text is one set of shingles, some fifty bytes of memory for each
+    of its words.  An empty table gives an empty result; other columns are ignored, whatever their names.
+
+    Shingles are compared by hashes of 32 bits: two different ones of a pair of 400-word texts coincide with probability
+    4e-5, which moves the similarity by a four-hundredth.
     """
     sketch = materialize(docs.select("doc_id", _node(F.col("text")).alias("node"), bands(F.col("text")).alias("bands")), "sketch")
     nodes = materialize(sketch.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
@@ -298,7 +311,9 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     of_node = nodes.select("node", F.col("doc_id").alias("first_id"))
     if links is not None:
         grouped = of_node.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = materialize(grouped.groupBy("component").agg(F.min(F.struct("first_id", "node")).alias("least")), "least")
+        # null ids come after all others
+        order = F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "node")
+        least = materialize(grouped.groupBy("component").agg(F.min(order).alias("least")), "least")
         of_node = grouped.join(least, "component").select("node", F.col("least.first_id").alias("class_id"), (F.col("least.node") == F.col("node")).alias("leads"))
     else:
         of_node = of_node.select("node", F.col("first_id").alias("class_id"), F.lit(True).alias("leads"))
@@ -309,7 +324,10 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of ``docs`` (all columns) of each near-duplicate class: the one of the least id; of repeated rows, any one."""
+    """One row of ``docs`` (all columns, whatever their names) of each near-duplicate class: the one of the least id.
+
+    Of repeated rows any one stays; null texts and null ids as in :func:`near_duplicate_classes`; an empty table stays empty.
+    """
     kept = materialize(near_duplicate_classes(docs, similarity).where("is_kept").groupBy("doc_id", "node").agg(F.count("*").alias("n")), "kept")
     name = next(c for c in ("node", *(f"node_{k}" for k in range(len(docs.columns) + 1))) if c not in docs.columns)
     marked = docs.withColumn(name, _node(F.col("text")))

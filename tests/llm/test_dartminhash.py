@@ -32,7 +32,7 @@ def brute_classes(rows):
     for i in range(len(rows)):
         for j in range(i):
             same = rows[i][1] == rows[j][1]
-            if not same and sets[i] and sets[j] and rows[i][0] is not None and rows[j][0] is not None:
+            if not same and sets[i] and sets[j]:
                 shared = sum((sets[i] & sets[j]).values())
                 same = shared >= 0.8 * sum((sets[i] | sets[j]).values())
             if same:
@@ -117,3 +117,23 @@ def test_components(spark):
     out = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     want = {k: 0 for k in range(41)} | {k: 100 for k in (100, 101, 102, 200)} | {k: 300 for k in range(300, 360)}
     assert {r.node: r.component for r in out} == want and len(out) == len(want)
+
+
+def test_near_copies_of_null_ids_meet(spark):
+    rows = corpus(2)
+    draw = random.Random(0)
+    rows = [(None if draw.random() < 0.3 else i, t) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = m.near_duplicate_classes(df).collect()
+    assert Counter((r.doc_id, r.class_id) for r in out) == brute_classes(rows)
+    classes = len({r.class_id for r in out if r.class_id is not None})
+    assert sum(r.is_kept and r.doc_id is not None for r in out) == classes
+
+
+def test_darts_thrown_in_parts_are_the_same(monkeypatch):
+    draw = np.random.default_rng(2)
+    e, text = draw.integers(0, 2**63, 4000).astype(np.uint64), np.repeat(np.arange(3), [100, 900, 3000])
+    w = draw.integers(1, 4, 4000).astype(float)
+    whole = m.signatures(e, w, text, 3, 144)
+    monkeypatch.setattr(m, "THROWN", 17)
+    assert (m.signatures(e, w, text, 3, 144) == whole).all()
