@@ -3,8 +3,9 @@
 Paragraphs (sentences of lines, whatever their length) are classified by a softmax regression over
 word 1- to 3-grams into licence families and an unknown class.  The training set is made of the templates below
 (sentences, runs of sentences, with words dropped and neighbouring text added) against paragraphs of a bounded sample of
-the corpus.  A held-out quarter calibrates the probabilities (temperature) and the probability from which a family is
-accepted (so that hardly any unknown paragraph is).  An accepted paragraph is then compared with the family's templates:
+the corpus.  A quarter of the templates, and of the corpus' paragraphs, is held out with all copies made of it; what is
+held out calibrates the probabilities (temperature) and the probability from which a family is accepted (so that hardly any
+unknown paragraph is); the final weights are those of all of them.  An accepted paragraph is then compared with the family's templates:
 the share of its word pairs that they hold confirms the prediction.  A notice inside a longer sentence is diluted by the
 words around it, so where the whole paragraph is not confirmed its stretches of template pairs are classified by
 themselves; one is confirmed if it holds most of a template.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import adam, window_hash, word_blocks
+from millrace.llm.common import SAMPLE_CHARS, adam, block_words, raw_blocks, window_hash, word_blocks
 
 #: Documents whose paragraphs stand for text without a licence, at most (in expectation).
 UNKNOWN_DOCUMENTS = 400
@@ -33,6 +34,10 @@ CONTAINED = 0.75
 #: A stretch goes on while its template pairs are at most this far apart: a word replaced breaks two pairs.
 STRETCH_GAP = 3
 UNKNOWN = "none"
+#: Share of the held-out unknown paragraphs that may be accepted as a family, before templates are compared.
+ACCEPTED_UNKNOWN = 0.002
+#: Bytes at the end of a piece of a long text that are scanned again with the next one, if no paragraph ends in them.
+HELD_BYTES = 8192
 
 # ---- fixed values: notices of well-known licences, by family -------------------------------------------------------------
 TEMPLATES = {
@@ -208,9 +213,11 @@ def fit(corpus: list[str], seed: int = 0, copies: int = 24, paragraphs: int = UN
     # words of licences out of order, and single ones, are no licence either
     pool = np.concatenate([t for ts in templates for t in ts])
     unknown += [draw.choice(pool, int(n)) for n in draw.integers(1, 12, 300)]
-    rows, classes = list(unknown), [len(families)] * len(unknown)
+    rows, classes, groups = list(unknown), [len(families)] * len(unknown), list(range(-len(unknown), 0))
+    number = 0
     for c, ts in enumerate(templates):
         for k, t in enumerate(ts):
+            number += 1
             for copy in range(copies):
                 w = np.concatenate(ts[k : k + 1 + int(draw.integers(0, 3))]) if copy % 3 == 2 else t
                 if copy % 4:
@@ -221,36 +228,43 @@ def fit(corpus: list[str], seed: int = 0, copies: int = 24, paragraphs: int = UN
                 if len(w):
                     rows.append(w)
                     classes.append(c)
+                    groups.append(number)
     y = np.array(classes)
     bounds = np.concatenate([[0], np.cumsum([len(w) for w in rows])])
     words = np.concatenate(rows)
     found = [np.unique(_gram_hashes(t)) for ts in templates for t in ts]
     grams = np.unique(np.concatenate(found))
     unit, f, value = _Units(grams)(words, bounds)
-    calibrating = draw.random(len(rows)) < 0.25
-    fitting = ~calibrating
+    # held out are whole templates with all their copies, in turn over all families (a run of sentences goes by its first)
+    names, group_of = np.unique(groups, return_inverse=True)
+    held = np.where(names > 0, names % 4 == 0, draw.random(len(names)) < 0.25)
+    calibrating = held[group_of]
     k, size = len(families) + 1, len(grams)
     one = np.eye(k)[y]
-    balance = (1.0 / np.bincount(y[fitting], minlength=k))[y] * fitting
-    balance /= balance.sum()
 
     def logits(w: np.ndarray) -> np.ndarray:
         w = w.reshape(size + 1, k)
         return np.stack([np.bincount(unit, w[f, c] * value, len(rows)) for c in range(k)], axis=1) + w[-1]
 
-    def gradient(w: np.ndarray) -> np.ndarray:
-        error = (_softmax(logits(w)) - one) * balance[:, None]
-        g = np.stack([np.bincount(f, error[unit, c] * value, size) for c in range(k)], axis=1)
-        return np.concatenate([g, error.sum(axis=0)[None]]).reshape(-1) + 1e-5 * w
+    def trained(fitting: np.ndarray) -> np.ndarray:
+        balance = (1.0 / np.maximum(np.bincount(y[fitting], minlength=k), 1))[y] * fitting
+        balance /= balance.sum()
 
-    w = adam(gradient, np.zeros((size + 1) * k), 200, 0.3)
-    z = logits(w)[calibrating]
-    truth = y[calibrating]
+        def gradient(w: np.ndarray) -> np.ndarray:
+            error = (_softmax(logits(w)) - one) * balance[:, None]
+            g = np.stack([np.bincount(f, error[unit, c] * value, size) for c in range(k)], axis=1)
+            return np.concatenate([g, error.sum(axis=0)[None]]).reshape(-1) + 1e-5 * w
+
+        return adam(gradient, np.zeros((size + 1) * k), 200, 0.3)
+
+    z, truth = logits(trained(~calibrating))[calibrating], y[calibrating]
     grid = np.geomspace(0.25, 8, 26)
     loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
     t = float(grid[int(np.argmin(loss))])
     top = _softmax(z / t)[:, :-1].max(axis=1)[truth == k - 1]
-    accept = min(0.95, max(0.5, float(np.quantile(top, 0.998)) if len(top) else 0.5))
+    accept = max(0.5, float(np.quantile(top, 1 - ACCEPTED_UNKNOWN)) if len(top) else 0.5)
+    # what was held out is learned as well, now that temperature and acceptance are known
+    w = trained(np.ones(len(rows), bool))
     w = w.reshape(size + 1, k) / t
     return LicenseModel(families, grams, w[:-1], w[-1], accept, pairs, [[np.unique(_pair_hashes(t)) for t in ts] for ts in templates])
 
@@ -263,6 +277,30 @@ _FOUND = pa.struct([("family", pa.string()), ("probability", pa.float64()), ("si
 _FOUND_DDL = "array<struct<family:string,probability:double,similarity:double,confirmed:boolean,paragraph:string>>"
 
 
+def _paragraph_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, bytes, offsets), where no cut of a long text is within a paragraph.
+
+    What follows the last paragraph's end of a piece waits for the next one; of a paragraph of more than
+    :data:`HELD_BYTES` so many bytes do, so a notice at the cut is whole in the second piece.
+    """
+    held = b""
+    for lo, raw, offsets, begins, ends in raw_blocks(column):
+        if begins and ends:
+            yield lo, raw, offsets
+            continue
+        data = held + raw.tobytes()
+        held = b""
+        if not ends:
+            at = max(data.rfind(b"\n"), data.rfind(b". ")) + 1
+            if len(data) - at <= HELD_BYTES:
+                data, held = data[:at], data[at:]
+            else:
+                at = max(data.find(b" ", len(data) - HELD_BYTES), 0)
+                held = data[at:]
+        if data:
+            yield lo, np.frombuffer(data, np.uint8), np.array([0, len(data)])
+
+
 class _Scanner:
     _SLOTS = 1 << 20
 
@@ -309,7 +347,8 @@ class _Scanner:
 
     def __call__(self, column: pa.Array) -> list[list[dict]]:
         model, out = self.model, [[] for _ in range(len(column))]
-        for lo, words, offsets, spans in word_blocks(column):
+        for lo, block, texts in _paragraph_blocks(column):
+            words, offsets, spans = block_words(block, texts)
             if not len(words):
                 continue
             bounds = _paragraphs(words, offsets, spans)
@@ -353,10 +392,12 @@ def license_paragraphs(text: Column, model: LicenseModel, confirming: float = CO
 
 
 def train(docs: DataFrame, documents: int = UNKNOWN_DOCUMENTS) -> LicenseModel:
-    n = docs.count()
+    """Fits on about ``documents`` of the texts of at most :data:`SAMPLE_CHARS`, chosen by their hash and once each."""
+    texts = docs.where(F.char_length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64(F.lit("license"), "text").alias("h"))
+    n = texts.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
     share = min(1.0, documents / n) if n else 1.0
-    rows = docs.where(F.pmod(F.xxhash64(F.lit("license"), "doc_id", "text"), F.lit(1_000_000)) < share * 1_000_000).select("text").collect()
-    return fit(sorted(r["text"] for r in rows if r["text"]))
+    chosen = texts.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000)
+    return fit(sorted(r["text"] for r in chosen.groupBy("h").agg(F.min("text").alias("text")).collect()))
 
 
 def scan_documents(docs: DataFrame, documents: int = UNKNOWN_DOCUMENTS, confirming: float = CONFIRMING) -> DataFrame:
@@ -364,7 +405,9 @@ def scan_documents(docs: DataFrame, documents: int = UNKNOWN_DOCUMENTS, confirmi
 
     ``family`` is that of the best confirmed paragraph (of the most probable, if none is confirmed), ``none`` without an
     accepted one; ``families`` lists all confirmed ones.  Nulls: a null text has no paragraphs; a null id stays null.
-    Repeated rows are scanned each; an empty table gives an empty result; other columns are ignored.
+    Repeated rows are scanned each; an empty table gives an empty result; other columns are ignored, whatever their names.
+    Ties: of equally good paragraphs the family that is last by name.  Very long texts are scanned whole, in pieces that end
+    with a paragraph; of a paragraph of more than half a megabyte what is near a cut may count in two.
     """
     found = docs.select("doc_id", license_paragraphs(F.col("text"), train(docs, documents), confirming).alias("found"))
     ranked = F.array_max(F.transform("found", lambda x: F.struct(x["confirmed"].alias("confirmed"), x["probability"].alias("probability"), x["similarity"].alias("similarity"), x["family"].alias("family"))))
