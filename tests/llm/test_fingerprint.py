@@ -84,3 +84,18 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     assert edited[None] == hashlib.sha256(b"x a").hexdigest()
     one = f.fingerprints(df.where("doc_id = 1")).first()
     assert one.near_next == 1.0 and f.fingerprints(df.limit(0)).count() == 0
+
+
+def test_null_ids_and_repeated_rows_are_cut(spark):
+    """A third of the rows without id, a third one row repeated: no window partition holds more than a few stretches."""
+    rows = [(None, f"text {k} of none") for k in range(400)] + [(7, "the same words again and again")] * 400 + [(k * 3, f"text {k} of its own") for k in range(100, 500)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, _cell string")
+    paired = f.with_next(df.select("doc_id", "text"), ["doc_id", "text"], ["text"], stretch=20)
+    sizes = paired.groupBy(F.spark_partition_id()).count().collect()
+    assert paired.count() == 1200 and len(sizes) > 1
+    pairs = [(r.doc_id, r.next_doc_id, r.text, r.next_text) for r in paired.collect()]
+    rank = lambda i: -(2**63) if i is None else i
+    assert sum(rank(a) < rank(b) for a, b, *_ in pairs) == 1  # the last row, before the first
+    assert sum(a is not None and a == b for a, b, *_ in pairs) == 399 and sum(a is None and b is None for a, b, *_ in pairs) == 399
+    assert len({t for a, _, t, _ in pairs if a is None}) == 400 == len({t for *_, b, t in [(p[0], p[1], p[3]) for p in pairs] if b is None})
+    assert rows_of(f.fingerprints(df.where("doc_id > 7"), stretch=9)) == brute_rows([r for r in rows if r[0] is not None and r[0] > 7])
