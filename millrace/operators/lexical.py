@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from millrace.operators.topk import Tours, item_ids, rounded, tours_in_blocks
 from millrace.scratch import materialize
 
+#: Queries that are in the tasks at a time, and items whose postings a task inverts at a time.
+QUERY_BLOCK = 4096
+ITEM_SLICE = 4096
+
 FIELDS = ("title", "params", "desc")
 FIELD_WEIGHTS = {"title": 1.0, "params": 0.5, "desc": 1.0}
 
@@ -46,27 +54,85 @@ def combine_fields(scores: DataFrame, weights: dict[str, float] | None = None, f
     return scores.withColumn(name, total)
 
 
-def lexical_tours(scores: DataFrame, queries: DataFrame, items: DataFrame, k_local: int, k_global: int) -> tuple[DataFrame, DataFrame]:
-    """(local, global) rankings of positive scores; local ones among items of the query's location, null equal to null.
+def pair_scores(pairs: DataFrame, queries: DataFrame, postings: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """:func:`score_fields` of the given distinct pairs (``query_id, item_id``) alone; 0 where no term is shared.
+
+    A pair meets the postings of its own item only, so what is joined is in proportion to the pairs and their terms.
+    """
+    terms = queries.select("query_id", F.array_distinct("tokens").alias("_terms"))
+    asked = pairs.select("query_id", "item_id").join(terms, "query_id").select("query_id", "item_id", F.explode("_terms").alias("term"))
+    sums = [F.sum(F.when(F.col("field") == f, F.col("w"))).alias(f"bm25_{f}") for f in fields]
+    found = asked.join(postings, ["item_id", "term"]).groupBy("query_id", "item_id").agg(*sums)
+    return pairs.join(found, ["query_id", "item_id"], "left").fillna(0.0, [f"bm25_{f}" for f in fields])
+
+
+def _terms_task(rows: list, k_global: int, k_local: int, id_type: pa.DataType, item_type: pa.DataType):
+    """Scores a slice of items at a time: its postings are inverted, and the terms of each query pick their lists."""
+    codes: dict = {}
+    terms = [np.array([codes.setdefault(t, len(codes)) for t in r["terms"]], np.int64) for r in rows]
+    boosts = [np.array(r["boosts"], np.float64) for r in rows]
+    ids, locations = [r["query_id"] for r in rows], [r["location"] for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tours = Tours(locations, k_global, k_local)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ITEM_SLICE):
+                part = batch.slice(at, ITEM_SLICE)
+                column = part.column("terms")
+                words = column.flatten().dictionary_encode()
+                known = np.array([codes.get(w, -1) for w in words.dictionary.to_pylist()], np.int64)
+                code = known[words.indices.to_numpy()] if len(known) else np.empty(0, np.int64)
+                item = np.repeat(np.arange(part.num_rows), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                impact = np.asarray(part.column("impacts").flatten(), np.float64)
+                keep = code >= 0
+                order = np.argsort(code[keep], kind="stable")
+                code, item, impact = code[keep][order], item[keep][order], impact[keep][order]
+                bounds = np.searchsorted(code, np.arange(len(codes) + 1))
+                names, places = item_ids(part.column("item_id")), tours.places(part.column("location").to_pylist())
+                for q, (own, boost) in enumerate(zip(terms, boosts, strict=True)):
+                    lists = [(item[bounds[t] : bounds[t + 1]], impact[bounds[t] : bounds[t + 1]] * x) for t, x in zip(own.tolist(), boost.tolist(), strict=True) if bounds[t + 1] > bounds[t]]
+                    if not lists:
+                        continue
+                    score = rounded(np.bincount(np.concatenate([i for i, _ in lists]), np.concatenate([w for _, w in lists]), part.num_rows))
+                    good = np.flatnonzero(score > 0)
+                    tours.add(np.full(len(good), q), names[good], places[good], score[good])
+        yield from tours.batches(ids, id_type, item_type)
+
+    return run
+
+
+def term_tours(queries: DataFrame, items: DataFrame, k_local: int, k_global: int, block: int = QUERY_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(local, global) rankings ``query_id, item_id, score, rank`` by the sum, over shared terms, of boost times impact.
+
+    ``queries`` has ``query_id, location, terms, boosts``, ``items`` has ``item_id, location, terms, impacts`` (arrays of equal
+    length).  Only positive scores count; local rankings are of items of the query's location, null equal to null.  Pairs
+    of a query and an item that share a term are never rows: a task scores its own items against a block of queries and
+    passes on the best, so a term that every item has costs no shuffle.
+    """
+    tour = tours_in_blocks(queries, items, k_global, k_local, block, ["terms", "boosts"], _terms_task)
+    return tour.where("scope = 'local'").drop("scope"), tour.where("scope = 'global'").drop("scope")
+
+
+def lexical_tours(
+    queries: DataFrame, items: DataFrame, postings: DataFrame, k_local: int, k_global: int, weights: dict[str, float] | None = None, fields: tuple[str, ...] = FIELDS
+) -> tuple[DataFrame, DataFrame]:
+    """(local, global) rankings by the weighted sum of the field scores, as :func:`term_tours` makes them.
 
-    Scores are computed once: a pair counts in its scopes as rows, one window (limited before its exchange) ranks both, and
-    the rankings, which are small, become a table.
+    A term's postings in the fields of an item are one impact, gathered by item once.
     """
-    placed = scores.where(F.col("score") > 0).join(queries.select("query_id", F.col("location").alias("_q")), "query_id")
-    placed = placed.join(items.select("item_id", F.col("location").alias("_i")), "item_id")
-    scopes = F.when(F.col("_q").eqNullSafe(F.col("_i")), F.array(F.lit("global"), F.lit("local"))).otherwise(F.array(F.lit("global")))
-    rows = placed.select(*scores.columns, F.explode(scopes).alias("scope"))
-    order = Window.partitionBy("query_id", "scope").orderBy(F.round("score", 9).desc(), F.col("item_id"))
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k_local, k_global))
-    limit = F.when(F.col("scope") == "global", F.lit(k_global)).otherwise(F.lit(k_local))
-    tours = materialize(ranked.where(F.col("rank") <= limit), "tours")
-    return tours.where("scope = 'local'").drop("scope"), tours.where("scope = 'global'").drop("scope")
-
-
-def lexical_candidates(scores: DataFrame, local: DataFrame, glob: DataFrame, extra: DataFrame | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    weights = FIELD_WEIGHTS if weights is None else weights
+    factor = F.coalesce(*(F.when(F.col("field") == f, F.lit(float(weights.get(f, 0.0)))) for f in fields), F.lit(0.0))
+    impacts = postings.groupBy("item_id", "term").agg(F.sum(factor * F.col("w")).alias("impact"))
+    gathered = impacts.groupBy("item_id").agg(F.collect_list(F.struct("term", "impact")).alias("x"))
+    held = gathered.join(items.select("item_id", "location"), "item_id").select("item_id", "location", F.col("x.term").alias("terms"), F.col("x.impact").alias("impacts"))
+    terms = F.array_distinct("tokens")
+    asked = queries.select("query_id", "location", terms.alias("terms"), F.transform(terms, lambda t: F.lit(1.0)).alias("boosts"))
+    return term_tours(asked, held, k_local, k_global)
+
+
+def lexical_candidates(queries: DataFrame, postings: DataFrame, local: DataFrame, glob: DataFrame, extra: DataFrame | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """The union of the rankings' (and extra) pairs with the field scores of each; 0 where no term is shared."""
     pairs = local.select("query_id", "item_id").unionByName(glob.select("query_id", "item_id"))
     if extra is not None:
         pairs = pairs.unionByName(extra.select("query_id", "item_id"))
-    joined = pairs.distinct().join(scores, ["query_id", "item_id"], "left")
-    return joined.select("query_id", "item_id", *(F.coalesce(f"bm25_{f}", F.lit(0.0)).alias(f"bm25_{f}") for f in fields))
+    return pair_scores(materialize(pairs.distinct(), "pairs"), queries, postings, fields)

@@ -11,6 +11,7 @@ from millrace.operators import evaluate, features, fusion
 from millrace.plans.candidates import Encoded, candidate_features
 from millrace.plans.config import Config
 from millrace.plans.context import make_benchmark_stage
+from millrace.plans.feature_oracle import feature_bank_sql
 from millrace.plans.registry import Tables, query
 from millrace.plans.retrieval_queries import _BM25, bm25_tours
 from millrace.plans.text_queries import TITLE
@@ -24,8 +25,9 @@ from millrace.sources import answer
     f"SELECT p_partkey, count(*) OVER (PARTITION BY {TITLE.format('p_name')}) AS dup_cluster_size, CAST(count(*) OVER (PARTITION BY {TITLE.format('p_name')}) = 1 AS INT) AS is_unique_title FROM part",
 )
 def dup_clusters(t: Tables) -> DataFrame:
-    size = F.count("*").over(Window.partitionBy(text.normalize_title("p_name")))
-    return t.part.select("p_partkey", size.alias("dup_cluster_size")).withColumn("is_unique_title", (F.col("dup_cluster_size") == 1).cast("int"))
+    titled = t.part.select("p_partkey", text.normalize_title("p_name").alias("title"))
+    sized = features.with_groups(titled, ["title"], dup_cluster_size=F.count("*"))
+    return sized.select("p_partkey", "dup_cluster_size", (F.col("dup_cluster_size") == 1).cast("int").alias("is_unique_title"))
 
 
 @query(
@@ -33,8 +35,9 @@ def dup_clusters(t: Tables) -> DataFrame:
     """SELECT p_partkey, count(*) OVER (PARTITION BY p_brand) AS microcat_size, count(*) OVER (PARTITION BY nullif(p_size, 7)) AS item_loc_freq FROM part""",
 )
 def category_sizes(t: Tables) -> DataFrame:
-    by = lambda c: F.count("*").over(Window.partitionBy(c))
-    return t.part.select("p_partkey", by(F.col("p_brand")).alias("microcat_size"), by(F.nullif("p_size", F.lit(7))).alias("item_loc_freq"))
+    shaped = t.part.select("p_partkey", "p_brand", F.nullif("p_size", F.lit(7)).alias("size"))
+    sized = features.with_groups(features.with_groups(shaped, ["p_brand"], microcat_size=F.count("*")), ["size"], item_loc_freq=F.count("*"))
+    return sized.select("p_partkey", "microcat_size", "item_loc_freq")
 
 
 @query(
@@ -45,7 +48,7 @@ def category_sizes(t: Tables) -> DataFrame:
 )
 def price_zscore(t: Tables) -> DataFrame:
     shaped = t.part.withColumn("price", F.when(F.col("p_retailprice") > 905, F.col("p_retailprice")))
-    return shaped.select("p_partkey", F.round(features.price_zscore("price", Window.partitionBy("p_brand", "p_size")), 5).alias("z"))
+    return features.price_zscore(shaped, "price", ["p_brand", "p_size"], "z").select("p_partkey", F.round("z", 5).alias("z"))
 
 
 _WINDOWS = """x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 50 AS q, CASE WHEN l_linenumber = 5 THEN NULL ELSE l_quantity END AS v, l_returnflag AS c FROM lineitem),
@@ -246,7 +249,7 @@ def part_encoded(t: Tables, stage) -> Encoded:
     return Encoded(side(stage.items, "item_id", "title"), side(stage.queries, "query_id", "tokens"))
 
 
-@query("feature_bank_46")
+@query("feature_bank_46", feature_bank_sql(Config()))
 def feature_bank_46(t: Tables) -> DataFrame:
     stage = part_stage(t)
     frame = candidate_features(stage, part_encoded(t, stage), Config())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.operators import fusion, geo, lexical, vector
 from millrace.plans.registry import Tables, query
+from millrace.scratch import materialize
 
 _LANGS = "['en', 'de', 'fr', 'es'][item_id % 4 + 1]"
 _TOK = "regexp_extract_all(lower({0}), '[0-9a-zа-яё]+')"
@@ -45,7 +46,7 @@ def bm25_scores(t: Tables) -> DataFrame:
 
 def bm25_tours(t: Tables) -> tuple[DataFrame, DataFrame]:
     items = t.documents.select(F.col("doc_id").alias("item_id"), F.col("lang").alias("location"))
-    return lexical.lexical_tours(bm25_scores(t), asked(t), items, 50, 100)
+    return lexical.lexical_tours(asked(t), items, lexical.fit_bm25(doc_items(t)), 50, 100)
 
 
 def _ranked(df: DataFrame, digits: int = 5) -> DataFrame:
@@ -74,9 +75,11 @@ def bm25f_topk_local(t: Tables) -> DataFrame:
         SELECT query_id, item_id, round(coalesce(t, 0), 5) AS bm25_title, round(coalesce(p, 0), 5) AS bm25_params, round(coalesce(d, 0), 5) AS bm25_desc FROM pairs LEFT JOIN bm USING (query_id, item_id)""",
 )
 def lexical_candidates(t: Tables) -> DataFrame:
-    scores, (local, glob) = bm25_scores(t), bm25_tours(t)
+    postings = materialize(lexical.fit_bm25(doc_items(t)), "postings")
+    items = t.documents.select(F.col("doc_id").alias("item_id"), F.col("lang").alias("location"))
+    local, glob = lexical.lexical_tours(asked(t), items, postings, 50, 100)
     extra = asked(t).select("query_id", F.col("query_id").alias("item_id"))
-    c = lexical.lexical_candidates(scores, local, glob, extra)
+    c = lexical.lexical_candidates(asked(t), postings, local, glob, extra)
     return c.select("query_id", "item_id", *(F.round(x, 5).alias(x) for x in ("bm25_title", "bm25_params", "bm25_desc")))
 
 
@@ -259,7 +262,7 @@ def pool_rank_features(t: Tables) -> DataFrame:
 def rrf_fuse(t: Tables) -> DataFrame:
     local, glob = vector.dense_rankings(*vectors(t), 60, 20)
     q, d = sparse_sides(t)
-    lexical_tour = fusion.top_k(vector.sparse_scores(q.where("query_id % 100 = 0"), d), 30)
+    lexical_tour = vector.sparse_tour(q.where("query_id % 100 = 0"), d, 30)[1]
     return _ranked(fusion.rrf_fuse({"dense": glob, "local": local, "sparse": lexical_tour, "none": glob}, {"dense": 4.0, "sparse": 2.0, "none": 0.0}, 200), 9)
 
 

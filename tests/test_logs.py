@@ -128,10 +128,8 @@ def test_negative_strata(spark, n):
 
 def test_price_scores_and_item_groups(spark):
     rows = [(k, "a" if k < 8 else "b", [100.0, 200.0, 0.0, None, 50.0, 80.0, 90.0, 10.0, 5.0][k]) for k in range(9)]
-    from pyspark.sql.window import Window
-
     df = spark.createDataFrame(rows, "k int, g string, price double")
-    got = {r.k: r.z for r in df.select("k", features.price_zscore("price", Window.partitionBy("g")).alias("z")).collect()}
+    got = {r.k: r.z for r in features.price_zscore(df, "price", ["g"], "z").collect()}
     import statistics
 
     import numpy as np

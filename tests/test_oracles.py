@@ -39,5 +39,5 @@ def test_query_equals_its_sql(spark, tables, name):
     assert got == sorted((tuple(plain(r[k]) for k in at) for r in expected.fetchall()), key=repr)
 
 
-def test_all_queries_but_one_have_sql():
-    assert set(QUERIES) - set(ORACLES) == {"feature_bank_46"}
+def test_all_queries_have_sql():
+    assert set(QUERIES) == set(ORACLES)
