@@ -200,27 +200,67 @@ _OVERLAP = pa.struct([("start", pa.int64()), ("tokens", pa.int64()), ("equal", p
 _OVERLAP_DDL = "struct<start:bigint,tokens:bigint,equal:bigint>"
 
 
-def _by_hash(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[dict]:
-    """A row for each distinct hash with its runs."""
-    order = np.lexsort((first, h))
-    h, first, last = h[order], first[order], last[order]
-    edges = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
-    return [{"h": x, "first": first[a:b].tolist(), "last": last[a:b].tolist()} for x, a, b in zip(h[edges[:-1]].view(np.int64).tolist(), edges[:-1], edges[1:], strict=True)] if len(h) else []
-
-
-def item_parts(text: str) -> list[dict]:
-    """The parts of a benchmark text: ``part, tokens, seeds``."""
-    tokens = tokens_of([text])[0]
-    step = PART_TOKENS - PART_OVERLAP
-    starts = range(0, len(tokens) - PART_OVERLAP, step) if len(tokens) > PART_TOKENS else range(min(len(tokens), 1))
-    out = []
-    for k, at in enumerate(starts):
-        part = tokens[at : at + PART_TOKENS]
-        hashes = [seed_hashes(part, mask) for mask in masks_for(len(part))]
-        spans = [(h, *runs(h)) for h in hashes if len(h)]
-        seeds = _by_hash(np.concatenate([h[f] for h, f, _ in spans]), np.concatenate([f for _, f, _ in spans]), np.concatenate([e for *_, e in spans])) if spans else []
-        out.append({"part": k, "tokens": part.view(np.int64), "seeds": seeds})
-    return out
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n[k]`` whole numbers from ``first[k]`` on, for each k in turn."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def _lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _sizes(edges: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(edges, n))
+
+
+class _Grouped:
+    """Seeds of owners in arrays: for each owner its distinct hashes, for each hash its runs."""
+
+    def __init__(self, owner: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray):
+        order = np.lexsort((first, h, owner))
+        owner, h, self.first, self.last = owner[order], h[order], first[order].astype(np.int32), last[order].astype(np.int32)
+        hashes = _edges(owner, h)
+        self.runs = _sizes(hashes, len(h))
+        self.h = h[hashes]
+        self.owners = owner[hashes]
+
+    @staticmethod
+    def array(parts: list[_Grouped], per_owner: np.ndarray) -> pa.ListArray:
+        """``list<struct<h, first, last>>`` for each owner of all parts."""
+        join = lambda arrays, kind: np.concatenate([np.empty(0, kind), *arrays])
+        counts = join([p.runs for p in parts], np.int64)
+        first, last = (_lists(pa.array(join([getattr(p, c) for p in parts], np.int32)), counts) for c in ("first", "last"))
+        h = pa.array(join([p.h.view(np.int64) for p in parts], np.int64))
+        return _lists(pa.StructArray.from_arrays([h, first, last], fields=list(_SEED)), per_owner)
+
+
+def item_parts(texts: list[str]) -> pa.ListArray:
+    """The parts of benchmark texts: ``list<struct<part, tokens, seeds>>``."""
+    step, per_text, numbers, tokens, groups, seeds = PART_TOKENS - PART_OVERLAP, [], [], [], [], []
+    for words in tokens_of(texts):
+        starts = range(0, len(words) - PART_OVERLAP, step) if len(words) > PART_TOKENS else range(min(len(words), 1))
+        per_text.append(len(starts))
+        for k, at in enumerate(starts):
+            part = words[at : at + PART_TOKENS]
+            hashes = [h for mask in masks_for(len(part)) if len(h := seed_hashes(part, mask))]
+            spans = [(h, *runs(h)) for h in hashes]
+            joined = [np.concatenate(x) for x in zip(*((h[f], f, e) for h, f, e in spans), strict=True)] if spans else [np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
+            group = _Grouped(np.zeros(len(joined[0]), np.int64), *joined)
+            numbers.append(k)
+            tokens.append(part.view(np.int64))
+            groups.append(group)
+            seeds.append(len(group.h))
+    flat = _lists(pa.array(np.concatenate([np.empty(0, np.int64), *tokens])), np.array([len(t) for t in tokens], np.int64))
+    columns = [pa.array(numbers, pa.int32()), flat, _Grouped.array(groups, np.array(seeds, np.int64))]
+    return _lists(pa.StructArray.from_arrays(columns, fields=list(_PART)), np.array(per_text, np.int64))
 
 
 def _probes(h: np.ndarray, bits: int) -> np.ndarray:
@@ -264,7 +304,8 @@ class Benchmark:
     def __init__(self, benchmark: DataFrame):
         @F.arrow_udf(_PARTS_DDL)
         def cut(text: pa.Array) -> pa.Array:
-            return pa.array([item_parts(t.as_py()) for t in text], pa.list_(_PART))
+            parts = [item_parts(text.slice(k, 64).to_pylist()) for k in range(0, len(text), 64)]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(_PART))
 
         known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
         # the number keeps the filter that Spark infers for explode from running the function twice
@@ -307,8 +348,9 @@ class Seeker:
         self.masks, self.longest, self.words = masks, longest, words
         self.margin = longest + _LONGEST
 
-    def _pieces(self, tokens: np.ndarray, offsets: np.ndarray, base: int = 0, least: int = 0, most: int | None = None) -> Iterator[tuple[int, dict]]:
-        """(text, piece) of the texts: windows from ``least`` to before ``most``; places of a text count from ``base``."""
+    def _pieces(self, tokens: np.ndarray, offsets: np.ndarray, base: int = 0, least: int = 0, most: int | None = None) -> tuple | None:
+        """(text, start, number of tokens, tokens, seeds) of the pieces of the texts: windows from ``least`` to before
+        ``most``; places of a text count from ``base``."""
         parts = []
         for mask in self.masks:
             h = seed_hashes(tokens, mask)
@@ -325,36 +367,39 @@ class Seeker:
                 k = np.flatnonzero(new)
                 parts.append((text[k], core[k], h[at[k]], at[k], at[np.append(k[1:], len(at)) - 1]))
         if not parts:
-            return
+            return None
         text, core, h, first, last = map(np.concatenate, zip(*parts, strict=True))
         order = np.lexsort((core, text))
         text, core, h, first, last = text[order], core[order], h[order], first[order], last[order]
-        edges = (np.flatnonzero((np.diff(text) != 0) | (np.diff(core) != 0)) + 1).tolist()
-        for a, b in zip([0, *edges], [*edges, len(first)], strict=True):
-            t = int(text[a])
-            lo = max(int(offsets[t]), int(first[a:b].min()) - self.longest)
-            hi = min(int(offsets[t + 1]), int(last[a:b].max()) + self.margin)
-            yield t, {"start": base + lo - int(offsets[t]), "tokens": tokens[lo:hi].view(np.int64), "hits": _by_hash(h[a:b], first[a:b] - lo, last[a:b] - lo)}
-
-    def __call__(self, column: pa.Array) -> list[list[dict]]:
-        out: list[list[dict]] = [[] for _ in range(len(column))]
-        if not self.masks:
-            return out
+        edges = _edges(text, core)
+        owner = np.repeat(np.arange(len(edges)), _sizes(edges, len(text)))
+        of_piece = text[edges]
+        lo = np.maximum(offsets[of_piece], np.minimum.reduceat(first, edges) - self.longest)
+        hi = np.minimum(offsets[of_piece + 1], np.maximum.reduceat(last, edges) + self.margin)
+        seeds = _Grouped(owner, h, first - lo[owner], last - lo[owner])
+        return of_piece, base + lo - offsets[of_piece], hi - lo, tokens[_ranges(lo, hi - lo)].view(np.int64), seeds
+
+    def __call__(self, column: pa.Array) -> pa.ListArray:
+        """``list<struct<start, tokens, hits>>`` for each text."""
+        found: list[tuple] = []
         # of a text that comes in pieces, the tokens that later windows and their surroundings still need are carried on
         last, held, base, done = -1, np.empty(0, np.uint64), 0, 0
 
+        def take(number: int, pieces: tuple | None) -> None:
+            if pieces is not None:
+                found.append((pieces[0] + number, *pieces[1:]))
+
         def settle(final: bool) -> None:
             nonlocal held, base, done
             ready = len(held) if final else len(held) - self.margin
             if ready > done:
-                out[last].extend(piece for _, piece in self._pieces(held, np.array([0, len(held)]), base, done, ready))
+                take(last, self._pieces(held, np.array([0, len(held)]), base, done, ready))
                 cut = max(0, ready - self.margin)
                 held, base, done = held[cut:].copy(), base + cut, ready - cut
 
-        for lo, tokens, offsets in token_blocks(column):
+        for lo, tokens, offsets in token_blocks(column) if self.masks else ():
             if len(offsets) > 2:
-                for t, piece in self._pieces(tokens, offsets):
-                    out[lo + t].append(piece)
+                take(lo, self._pieces(tokens, offsets))
                 continue
             if lo != last:
                 if last >= 0:
@@ -364,7 +409,16 @@ class Seeker:
             settle(False)
         if last >= 0:
             settle(True)
-        return out
+        # a block of many texts may have come before the end of an earlier one
+        join = lambda k, kind: np.concatenate([np.empty(0, kind), *(f[k] for f in found)])
+        text, start, sizes = join(0, np.int64), join(1, np.int64), join(2, np.int64)
+        hits = np.concatenate([np.empty(0, np.int64), *(np.bincount(f[4].owners, minlength=len(f[0])) for f in found)]).astype(np.int64)
+        columns = [pa.array(start), _lists(pa.array(join(3, np.int64)), sizes), _Grouped.array([f[4] for f in found], hits)]
+        pieces = pa.StructArray.from_arrays(columns, fields=list(_PIECE))
+        order = np.argsort(text, kind="stable")
+        if (np.diff(text) < 0).any():
+            pieces = pieces.take(pa.array(order))
+        return _lists(pieces, np.bincount(text, minlength=len(column)))
 
 
 def document_pieces(text: Column, benchmark: Benchmark) -> Column:
@@ -375,7 +429,7 @@ def document_pieces(text: Column, benchmark: Benchmark) -> Column:
     def seek(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seeker = Seeker(masks, longest, words.value)
         for batch in batches:
-            yield pa.array(seeker(batch), pa.list_(_PIECE))
+            yield seeker(batch)
 
     return seek(text)
 

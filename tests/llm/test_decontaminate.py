@@ -17,7 +17,7 @@ class _matcher:
     """The stages of the plan without Spark: parts and their filter, pieces of texts, hits by equal hashes, verification."""
 
     def __init__(self, items):
-        self.parts = [(i, p) for i, t in items for p in d.item_parts(t)]
+        self.parts = [(i, p) for (i, _), parts in zip(items, d.item_parts([t for _, t in items]).to_pylist(), strict=True) for p in parts]
         self.seeds = {}
         for k, (_, p) in enumerate(self.parts):
             for x in p["seeds"]:
@@ -27,7 +27,7 @@ class _matcher:
 
     def __call__(self, column):
         out = []
-        for pieces in self.seeker(column):
+        for pieces in self.seeker(column).to_pylist():
             best = {}
             for piece in pieces:
                 spans = {}
@@ -36,7 +36,7 @@ class _matcher:
                         spans.setdefault(k, []).append({"first": x["first"], "last": x["last"], "a": y["first"], "b": y["last"]})
                 for k, s in spans.items():
                     i, p = self.parts[k]
-                    found = d.best_overlap(piece["tokens"], p["tokens"], d.diagonals_of(s, len(piece["tokens"]), len(p["tokens"])))
+                    found = d.best_overlap(np.array(piece["tokens"]), np.array(p["tokens"]), d.diagonals_of(s, len(piece["tokens"]), len(p["tokens"])))
                     if found and found[2] > best.get(i, (0, 0, 0))[2]:
                         best[i] = (piece["start"] + found[0], *found[1:])
             out.append([{"item_id": i, "start": f[0], "tokens": f[1], "equal": f[2]} for i, f in sorted(best.items())])

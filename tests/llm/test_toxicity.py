@@ -72,3 +72,22 @@ def test_empty_tables_and_missing_labels(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert len({r.score for r in toxicity.score_documents(docs, labels).collect()}) == 1
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_the_query_equals_brute_force(spark):
+    """Every document's score against a sum over the n-grams that plain Python finds in it."""
+    rows = _rows(150)
+    df = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(900, "Ünïcode scumbag\tÉ"), (901, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id bigint, toxic int")
+    model = toxicity.train(df, labels)
+    weights = dict(zip(model.grams.tolist(), model.weights.tolist(), strict=True))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for r in toxicity.score_documents(df, labels).collect():
+        padded = " " + "".join(" " if ord(c) < 33 else c for c in (texts[r.doc_id] or "").lower()) + " "
+        z = model.intercept
+        for gram in {padded[i : i + n] for n in toxicity.ORDERS for i in range(len(padded) - n + 1)}:
+            h = 0
+            for c in gram:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+            z += weights.get(int(toxicity.mix(np.array([(h + len(gram)) % 2**64], np.uint64))[0]), 0.0)
+        assert np.isclose(r.score, 1 / (1 + np.exp(-z))) and r.predicted == int(r.score >= 0.7)
