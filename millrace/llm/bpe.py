@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Entries in a task's table of known encodings, and the longest pre-token (in characters) that it holds.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 CACHE_LENGTH = 64
 #: Characters of text whose new pre-tokens are merged together, and from how many on that is worth it.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 TOGETHER = 500
 #: Longer texts are encoded by themselves, in slices of so many pre-tokens.
 LONG_CHARS = 1_000_000

@@ -41,7 +41,7 @@ _FLOOR = 1e-7
 _SLOTS = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Numbers in a task's table of known scores; it starts anew when full.
-CACHE_VALUES = 5_000_000
+CACHE_VALUES = 3_000_000
 #: Words are padded to these lengths and scored together; longer ones are scored alone.
 _PADDED = np.array([4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256])
 #: Numbers in one array of forward sums, about; positions between two rescalings; letters of a word that the fit takes whole.
