@@ -74,8 +74,7 @@ def token_microcat(t: Tables) -> DataFrame:
     return logs.query_logs(click_log(t)).tokens
 
 
-_ASKED_TEXTS = f"""asked AS (SELECT DISTINCT norm FROM lg UNION SELECT DISTINCT {QUERY.format("c_mktsegment || ' low ' || c_mktsegment")} FROM customer UNION SELECT 'nothing known'),
-    mcs AS (SELECT DISTINCT CASE WHEN p_brand = 'Brand#7' THEN NULL ELSE p_brand END AS microcat FROM part)"""
+_ASKED_TEXTS = f"""asked AS (SELECT DISTINCT norm FROM lg UNION SELECT DISTINCT {QUERY.format("c_mktsegment || ' low ' || c_mktsegment")} FROM customer UNION SELECT 'nothing known')"""
 
 
 def asked_texts(t: Tables) -> DataFrame:
@@ -89,7 +88,7 @@ def asked_texts(t: Tables) -> DataFrame:
     "p_microcat_backoff",
     f"""WITH {_LOG}, {_TOK}, {_ASKED_TEXTS},
         tot AS (SELECT norm, count(*) AS total FROM lg GROUP BY ALL), mc AS (SELECT norm, microcat, count(*) AS n FROM lg GROUP BY ALL), tt AS (SELECT token, sum(n) AS total FROM tk GROUP BY ALL),
-        pr AS (SELECT norm, microcat FROM asked, mcs),
+        pr AS (SELECT norm, microcat FROM (SELECT norm, unnest(string_split(norm, ' ')) AS token FROM asked) JOIN tk USING (token) UNION SELECT norm, 'none' FROM asked),
         direct AS (SELECT pr.norm, pr.microcat, coalesce(mc.n, 0) / CAST(total AS DOUBLE) AS p FROM pr JOIN tot USING (norm) LEFT JOIN mc ON mc.norm = pr.norm AND mc.microcat = pr.microcat),
         w AS (SELECT norm, microcat, unnest(string_split(norm, ' ')) AS token FROM pr WHERE norm NOT IN (SELECT norm FROM tot)),
         back AS (SELECT w.norm, w.microcat, avg(coalesce(tk.n, 0) / CAST(tt.total AS DOUBLE)) AS p FROM w JOIN tt USING (token) LEFT JOIN tk ON tk.token = w.token AND tk.microcat = w.microcat GROUP BY ALL),
@@ -97,15 +96,19 @@ def asked_texts(t: Tables) -> DataFrame:
         SELECT pr.norm AS search_query_norm, pr.microcat AS item_microcat_id, round(coalesce(k.p, 0), 6) AS p_microcat FROM pr LEFT JOIN k ON k.norm = pr.norm AND k.microcat IS NOT DISTINCT FROM pr.microcat""",
 )
 def p_microcat_backoff(t: Tables) -> DataFrame:
-    microcats = t.part.select(F.when(F.col("p_brand") != "Brand#7", F.col("p_brand")).alias("item_microcat_id")).distinct()
-    pairs = asked_texts(t).withColumn("k", F.lit(1)).join(microcats.withColumn("k", F.lit(1)), "k")
-    out = logs.p_microcat(pairs, logs.query_logs(click_log(t)))
+    known = logs.query_logs(click_log(t))
+    texts = asked_texts(t)
+    # candidates: the microcats (null ones too) that were clicked for one of the text's tokens, and one that is in no log
+    words = texts.select("search_query_norm", F.explode(text.split_words("search_query_norm")).alias("token"))
+    pairs = words.join(known.tokens, "token").select("search_query_norm", "item_microcat_id").distinct()
+    pairs = pairs.unionByName(texts.select("search_query_norm", F.lit("none").alias("item_microcat_id")))
+    out = logs.p_microcat(pairs, known)
     return out.select("search_query_norm", "item_microcat_id", F.round("p_microcat", 6).alias("p_microcat"))
 
 
 @query(
     "log_candidates",
-    f"""WITH {_LOG}, qs AS (SELECT norm, min(loc) AS loc, row_number() OVER (ORDER BY norm) AS query_id FROM lg GROUP BY norm),
+    f"""WITH {_LOG}, qs AS (SELECT norm, min(loc) AS loc, substr(md5(norm), 1, 16) AS query_id FROM lg GROUP BY norm),
         i AS (SELECT p_partkey AS item_id, {TITLE.format("p_name")} AS title_norm, p_partkey % 25 AS loc FROM part),
         a AS (SELECT norm, item_id, min(row_id) AS f FROM lg GROUP BY ALL), b AS (SELECT norm, title_norm, count(*) AS n, min(row_id) AS f FROM lg GROUP BY ALL),
         x AS (SELECT query_id, i.item_id, b.n, b.f, row_number() OVER (PARTITION BY query_id, i.title_norm ORDER BY CAST(i.loc <> qs.loc AS INT), i.item_id) AS rn FROM qs JOIN b USING (norm) JOIN i USING (title_norm)),
@@ -114,11 +117,9 @@ def p_microcat_backoff(t: Tables) -> DataFrame:
         SELECT query_id, item_id, rank FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY k, item_id) AS rank FROM m) WHERE rank <= 150""",
 )
 def log_candidates(t: Tables) -> DataFrame:
-    from pyspark.sql.window import Window
-
     log = click_log(t)
     texts = log.groupBy("search_query_norm").agg(F.min("location").alias("location"))
-    queries = texts.withColumn("query_id", F.row_number().over(Window.orderBy("search_query_norm")).cast("bigint"))
+    queries = texts.withColumn("query_id", F.substring(F.md5("search_query_norm"), 1, 16))
     items = t.part.select(F.col("p_partkey").alias("item_id"), text.normalize_title("p_name").alias("item_title_norm"), (F.col("p_partkey") % 25).alias("location"), F.col("p_partkey").alias("pos"))
     found = logs.log_candidates(queries, items, logs.query_logs(log))
     return found.select("query_id", "item_id", F.col("rank").cast("bigint").alias("rank"))
@@ -239,16 +240,14 @@ def bm25_mining(t: Tables) -> DataFrame:
     "hard_negatives",
     f"""WITH {_MINE}, ps AS (SELECT p_name || ' ' || lower(p_type) AS norm, p_partkey AS item_id FROM part),
         wn AS (SELECT norm, item_id AS neg, rank FROM rk WHERE rank - 1 >= 10 AND rank - 1 < 200 AND (norm, item_id) NOT IN (SELECT norm, item_id FROM ps)),
-        pr AS (SELECT norm, min(item_id) AS item_id FROM ps GROUP BY norm),
-        kp AS (SELECT pr.norm, pr.item_id, neg, rank FROM pr JOIN wn USING (norm) JOIN mi a ON a.item_id = pr.item_id JOIN mi b ON b.item_id = neg WHERE a.tower <> b.tower),
+        kp AS (SELECT pr.norm, pr.item_id, neg, rank FROM (SELECT DISTINCT norm, item_id FROM ps) pr JOIN wn USING (norm) JOIN mi a ON a.item_id = pr.item_id JOIN mi b ON b.item_id = neg WHERE a.tower <> b.tower),
         nb AS (SELECT *, row_number() OVER (PARTITION BY norm, item_id ORDER BY rank, neg) AS rn, count(*) OVER (PARTITION BY norm, item_id) AS n FROM kp),
         sg AS (SELECT *, CASE WHEN n <= 2 THEN rn - 1 ELSE (rn * 2 + n - 1) // n - 1 END AS stratum FROM nb)
         SELECT norm AS search_query_norm, item_id, neg AS negative_id, stratum FROM (SELECT *, row_number() OVER (PARTITION BY norm, item_id, stratum ORDER BY md5('42|' || norm || '|' || item_id || '|' || neg), neg) AS pick FROM sg) WHERE pick = 1""",
 )
 def hard_negatives(t: Tables) -> DataFrame:
     positives = t.part.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("search_query_norm"), F.col("p_partkey").alias("item_id"))
-    pairs = positives.groupBy("search_query_norm").agg(F.min("item_id").alias("item_id"))
     ranking = mined_ranking(t).withColumnRenamed("query_id", "search_query_norm")
-    return mining.mine_negatives(pairs, ranking, mining_items(t), positives, 2, 10, 200, 42)
+    return mining.mine_negatives(positives, ranking, mining_items(t), positives, 2, 10, 200, 42)
 
 

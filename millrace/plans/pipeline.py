@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import hooks
 from millrace.operators import evaluate, fusion, mining, rank, split, vector
 from millrace.plans.candidates import Encoded, candidate_features
-from millrace.plans.config import Config
+from millrace.plans.config import Config, sha256_of
 from millrace.plans.context import Stage, held_out_items, make_stage, master_corpus, normalized_log
 from millrace.scratch import materialize
 
@@ -115,9 +114,4 @@ def mine(log: DataFrame, cfg: Config | None = None, encoder_factory: Callable[[]
 
 def file_has_digest(path: str, sha256: str) -> bool:
     """Whether a local model file is whole; models are never fetched."""
-    digest = hashlib.sha256()
-    with open(path, "rb") as source:
-        while chunk := source.read(1 << 20):
-            digest.update(chunk)
-    return digest.hexdigest() == sha256.lower()
-
+    return sha256_of(path) == sha256.lower()

@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from millrace.plans import log_queries, rank_queries, retrieval_queries, text_queries  # noqa: F401
+    from millrace.plans import log_queries, rank_queries, retrieval_queries, source_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def sparse_topk(t: Tables) -> DataFrame:
 
 
 _TOKENS = """tk AS (SELECT vec_id // 4 AS g, list(embedding::DOUBLE[] ORDER BY vec_id) AS m FROM embeddings GROUP BY ALL),
-pr AS (SELECT a.g AS query_id, b.g AS item_id, a.m AS qm, b.m AS im FROM tk a JOIN tk b ON a.g % 25 = b.g % 25)"""
+pr AS (SELECT a.g AS query_id, b.g AS item_id, a.m AS qm, b.m AS im FROM tk a, tk b WHERE a.g % 100 = 0)"""
 
 
 def token_sets(t: Tables) -> DataFrame:
@@ -168,17 +168,21 @@ def token_sets(t: Tables) -> DataFrame:
 
 @query("maxsim_pairs", f"WITH {_TOKENS} SELECT query_id, item_id, round(list_sum([list_max([list_dot_product(x, y) for y in im]) for x in qm]), 5) AS colbert_maxsim FROM pr")
 def maxsim_pairs(t: Tables) -> DataFrame:
-    sets = token_sets(t)
-    q, d = sets.withColumnRenamed("g", "query_id"), sets.withColumnRenamed("g", "item_id")
-    pairs = q.select("query_id", (F.col("query_id") % 25).alias("k")).join(d.select("item_id", (F.col("item_id") % 25).alias("k")), "k").select("query_id", "item_id")
-    return vector.pair_maxsim(pairs, q, d).select("query_id", "item_id", F.round("colbert_maxsim", 5).alias("colbert_maxsim"))
+    """Every set whose number 100 divides against all sets: a list of the queries' numbers goes with each item."""
+    sets = materialize(token_sets(t), "token-sets")
+    q, d = sets.where("g % 100 = 0").withColumnRenamed("g", "query_id"), sets.withColumnRenamed("g", "item_id")
+    scored = vector.maxsim_scan(q, d)
+    return scored.select("query_id", "item_id", F.round("colbert_maxsim", 5).alias("colbert_maxsim"))
 
 
 @query("maxsim_expression", f"WITH {_TOKENS} SELECT query_id, item_id, round(list_sum([list_max([list_dot_product(x, y) for y in im]) for x in qm]), 5) AS s FROM pr")
 def maxsim_expression(t: Tables) -> DataFrame:
-    sets = token_sets(t).withColumn("k", F.col("g") % 25)
-    pairs = sets.select("k", F.col("g").alias("query_id"), F.col("tokens").alias("q")).join(sets.select("k", F.col("g").alias("item_id"), F.col("tokens").alias("d")), "k")
-    return pairs.select("query_id", "item_id", F.round(vector.maxsim("q", "d"), 5).alias("s"))
+    """The same by expressions of the JVM, for pairs of a candidate list: those of :func:`maxsim_pairs`."""
+    sets = materialize(token_sets(t), "token-sets")
+    q, d = sets.where("g % 100 = 0").withColumnRenamed("g", "query_id"), sets.withColumnRenamed("g", "item_id")
+    pairs = materialize(vector.maxsim_scan(q, d).select("query_id", "item_id"), "pairs")
+    wide = pairs.join(q.withColumnRenamed("tokens", "q"), "query_id").join(d.withColumnRenamed("tokens", "d"), "item_id")
+    return wide.select("query_id", "item_id", F.round(vector.maxsim("q", "d"), 5).alias("s"))
 
 
 @query(
@@ -315,10 +319,11 @@ def centroid_precedence(t: Tables) -> DataFrame:
 
 @query(
     "haversine_pairs",
-    f"""WITH {_GEO} SELECT item_id, s_suppkey, round({_HAV.format("i.lat", "i.lon", "45 + s_suppkey % 7", "12 + s_suppkey % 5")}, 5) AS km
-        FROM i JOIN supplier ON s_nationkey = loc""",
+    f"""WITH {_GEO}, tr AS (SELECT DISTINCT o_custkey AS item_id, l_suppkey AS s_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+        SELECT item_id, s_suppkey, round({_HAV.format("i.lat", "i.lon", "45 + s_suppkey % 7", "12 + s_suppkey % 5")}, 5) AS km FROM tr JOIN i USING (item_id)""",
 )
 def haversine_pairs(t: Tables) -> DataFrame:
-    joined = geo_items(t).join(t.supplier, F.col("item_location_id") == F.col("s_nationkey"))
+    """Customers and the suppliers that they have bought from."""
+    traded = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("item_id"), F.col("l_suppkey").alias("s_suppkey")).distinct()
     km = text.haversine_km(F.col("item_latitude"), F.col("item_longitude"), F.lit(45.0) + F.col("s_suppkey") % 7, F.lit(12.0) + F.col("s_suppkey") % 5)
-    return joined.select("item_id", "s_suppkey", F.round(km, 5).alias("km"))
+    return traded.join(geo_items(t), "item_id").select("item_id", "s_suppkey", F.round(km, 5).alias("km"))

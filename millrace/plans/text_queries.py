@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.plans.registry import Tables, query
+from millrace.plans.retrieval_queries import _BM25, bm25_tours
 from millrace.sources import tables
 
 _KEYS = "|".join(sorted(text.SPLIT_KEYS, key=lambda k: (-len(k), k)))
@@ -93,34 +94,40 @@ def tower_text(t: Tables) -> DataFrame:
     return _part_params(t).select("p_partkey", text.item_tower_text("p_name", "x").alias("tower"), text.query_tower_text("p_name", "x").alias("query_tower"))
 
 
-_DOCS = f"d AS (SELECT doc_id, lang, {TOKENS.format('text')} AS dt, {TOKENS.format(chr(39) + chr(39) + ' || split_part(text, chr(10), 1)')} AS tt FROM documents)"
-_ASKED = f"q AS (SELECT item_id, {TOKENS.format('text')} AS qt, ['en', 'de', 'fr', 'es'][item_id % 4 + 1] AS lang FROM benchmark)"
+#: Pairs to score: the local BM25 ranking, the 50 best documents of the language that a benchmark text is asked in.
+_DOCS = f"dd AS (SELECT doc_id, {TOKENS.format('text')} AS dt, {TOKENS.format('split_part(text, chr(10), 1)')} AS tt, split_part(text, chr(10), 1) AS title FROM documents)"
+_ASKED = f"qq AS (SELECT item_id AS query_id, text, {TOKENS.format('text')} AS qt FROM benchmark)"
+_CANDIDATES = "loc JOIN qq USING (query_id) JOIN dd ON doc_id = loc.item_id"
+
+
+def _candidates(t: Tables, asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidate pairs ``item_id`` (of the benchmark), ``doc_id`` with the columns of both sides."""
+    pairs = bm25_tours(t)[0].select(F.col("query_id").alias("item_id"), F.col("item_id").alias("doc_id"))
+    return pairs.join(asked, "item_id").join(docs, "doc_id")
 
 
 @query(
     "token_coverage",
-    f"""WITH {_DOCS}, {_ASKED}
-        SELECT item_id, doc_id, round(len(list_intersect(list_distinct(qt), list_distinct(dt))) / CAST(greatest(len(list_distinct(qt)), 1) AS DOUBLE), 6) AS coverage
-        FROM q JOIN d USING (lang)""",
+    f"""WITH {_BM25}, {_DOCS}, {_ASKED}
+        SELECT query_id AS item_id, doc_id, round(len(list_intersect(list_distinct(qt), list_distinct(dt))) / CAST(greatest(len(list_distinct(qt)), 1) AS DOUBLE), 6) AS coverage FROM {_CANDIDATES}""",
 )
 def token_coverage(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "lang", F.array_distinct(text.tokens("text")).alias("dt"))
-    return _asked(t).join(docs, "lang").select("item_id", "doc_id", F.round(text.coverage(F.col("qt"), F.col("dt")), 6).alias("coverage"))
+    pairs = _candidates(t, _asked(t), t.documents.select("doc_id", F.array_distinct(text.tokens("text")).alias("dt")))
+    return pairs.select("item_id", "doc_id", F.round(text.coverage(F.col("qt"), F.col("dt")), 6).alias("coverage"))
 
 
 def _asked(t: Tables) -> DataFrame:
-    lang = F.element_at(F.array(*(F.lit(x) for x in ("en", "de", "fr", "es"))), (F.col("item_id") % 4 + 1).cast("int"))
-    return t.benchmark.select("item_id", text.tokens("text").alias("qt"), lang.alias("lang"))
+    return t.benchmark.select("item_id", text.tokens("text").alias("qt"), text.trigrams("text").alias("qg"))
 
 
 @query(
     "title_prefix",
-    f"""WITH {_DOCS}, {_ASKED}, p AS (SELECT item_id, doc_id, qt, tt, least(len(qt), len(tt)) AS n FROM q JOIN d USING (lang))
-        SELECT item_id, doc_id, round(CASE WHEN n >= 1 THEN len([k for k in range(1, n + 1) if qt[1:k] = tt[1:k]]) / CAST(len(qt) AS DOUBLE) ELSE 0 END, 6) AS prefix FROM p""",
+    f"""WITH {_BM25}, {_DOCS}, {_ASKED}, p AS (SELECT query_id, doc_id, qt, tt, least(len(qt), len(tt)) AS n FROM {_CANDIDATES})
+        SELECT query_id AS item_id, doc_id, round(CASE WHEN n >= 1 THEN len([k for k in range(1, n + 1) if qt[1:k] = tt[1:k]]) / CAST(len(qt) AS DOUBLE) ELSE 0 END, 6) AS prefix FROM p""",
 )
 def title_prefix(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "lang", text.tokens(F.substring_index("text", "\n", 1)).alias("tt"))
-    return _asked(t).join(docs, "lang").select("item_id", "doc_id", F.round(text.prefix_match(F.col("qt"), F.col("tt")), 6).alias("prefix"))
+    pairs = _candidates(t, _asked(t), t.documents.select("doc_id", text.tokens(F.substring_index("text", "\n", 1)).alias("tt")))
+    return pairs.select("item_id", "doc_id", F.round(text.prefix_match(F.col("qt"), F.col("tt")), 6).alias("prefix"))
 
 
 _GRAMS = "list_distinct([substr(' ' || {0} || ' ', i, 3) for i in range(1, length({0}) + 1)])"
@@ -128,30 +135,28 @@ _GRAMS = "list_distinct([substr(' ' || {0} || ' ', i, 3) for i in range(1, lengt
 
 @query(
     "ngram_sim",
-    f"""WITH q AS (SELECT item_id, {_GRAMS.format("text")} AS qg, ['en', 'de', 'fr', 'es'][item_id % 4 + 1] AS lang FROM benchmark),
-        l AS (SELECT doc_id, lang, split_part(text, chr(10), 1) AS title FROM documents), d AS (SELECT doc_id, lang, {_GRAMS.format("title")} AS dg FROM l)
-        SELECT item_id, doc_id, round(coalesce(len(list_intersect(qg, dg)) / nullif(CAST(len(list_distinct(list_concat(qg, dg))) AS DOUBLE), 0), 0), 6) AS sim FROM q JOIN d USING (lang)""",
+    f"""WITH {_BM25}, {_DOCS}, {_ASKED}, g AS (SELECT query_id, doc_id, {_GRAMS.format("qq.text")} AS qg, {_GRAMS.format("title")} AS dg FROM {_CANDIDATES})
+        SELECT query_id AS item_id, doc_id, round(coalesce(len(list_intersect(qg, dg)) / nullif(CAST(len(list_distinct(list_concat(qg, dg))) AS DOUBLE), 0), 0), 6) AS sim FROM g""",
 )
 def ngram_sim(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "lang", text.trigrams(F.substring_index("text", "\n", 1)).alias("dg"))
-    asked = _asked(t).select("item_id", "lang").join(t.benchmark.select("item_id", text.trigrams("text").alias("qg")), "item_id")
-    return asked.join(docs, "lang").select("item_id", "doc_id", F.round(text.set_jaccard(F.col("qg"), F.col("dg")), 6).alias("sim"))
+    pairs = _candidates(t, _asked(t), t.documents.select("doc_id", text.trigrams(F.substring_index("text", "\n", 1)).alias("dg")))
+    return pairs.select("item_id", "doc_id", F.round(text.set_jaccard(F.col("qg"), F.col("dg")), 6).alias("sim"))
 
 
 @query(
     "param_overlap",
     f"""WITH {_PAIRS},
-        q AS (SELECT s_suppkey, p_brand, 'Вид услуги ' || p_type || ' Услуга ' || p_brand AS y FROM supplier JOIN part ON p_partkey = s_suppkey),
-        qk AS (SELECT s_suppkey, p_brand, regexp_extract_all(y, '({_KEYS})') AS qks, [trim(v, ' ,') for v in regexp_split_to_array(y, '{_KEYS}')[2:]] AS qvs FROM q)
+        q AS (SELECT s_suppkey, p_brand, p_size, 'Вид услуги ' || p_type || ' Услуга ' || p_brand AS y FROM supplier JOIN part ON p_partkey = s_suppkey),
+        qk AS (SELECT s_suppkey, p_brand, p_size, regexp_extract_all(y, '({_KEYS})') AS qks, [trim(v, ' ,') for v in regexp_split_to_array(y, '{_KEYS}')[2:]] AS qvs FROM q)
         SELECT s_suppkey, kv.p_partkey, CAST(len([z for z in list_zip(qks, qvs) if contains(p.x, z[1] || ' ' || z[2])]) AS BIGINT) AS matched,
                round(len(list_intersect(qks, ks)) / CAST(len(list_distinct(list_concat(qks, ks))) AS DOUBLE), 6) AS keys
-        FROM kv JOIN p USING (p_partkey) JOIN part USING (p_partkey) JOIN qk ON part.p_brand = qk.p_brand""",
+        FROM kv JOIN p USING (p_partkey) JOIN part USING (p_partkey) JOIN qk ON part.p_brand = qk.p_brand AND part.p_size = qk.p_size""",
 )
 def param_overlap(t: Tables) -> DataFrame:
     from millrace.operators.features import param_overlap as overlap
 
-    items = _part_params(t).join(t.part.select("p_partkey", "p_brand"), "p_partkey").select("p_partkey", "p_brand", "x", text.parse_params("x").alias("i_pairs"))
+    items = _part_params(t).join(t.part.select("p_partkey", "p_brand", "p_size"), "p_partkey").select("p_partkey", "p_brand", "p_size", "x", text.parse_params("x").alias("i_pairs"))
     asked = t.supplier.join(t.part, F.col("s_suppkey") == F.col("p_partkey"))
-    asked = asked.select("s_suppkey", "p_brand", text.parse_params(F.concat(F.lit("Вид услуги "), "p_type", F.lit(" Услуга "), "p_brand")).alias("q_pairs"))
+    asked = asked.select("s_suppkey", "p_brand", "p_size", text.parse_params(F.concat(F.lit("Вид услуги "), "p_type", F.lit(" Услуга "), "p_brand")).alias("q_pairs"))
     matched, keys = overlap(F.col("q_pairs"), F.col("x"), F.col("i_pairs"), F.lit(True))
-    return items.join(asked, "p_brand").select("s_suppkey", "p_partkey", matched.cast("bigint").alias("matched"), F.round(keys, 6).alias("keys"))
+    return items.join(asked, ["p_brand", "p_size"]).select("s_suppkey", "p_partkey", matched.cast("bigint").alias("matched"), F.round(keys, 6).alias("keys"))

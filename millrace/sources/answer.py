@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.scratch import materialize
 from millrace.sources.tables import ITEM_ID
 
 HEADER = "query_id,answer"
@@ -65,17 +66,23 @@ def validate_rows(answer: DataFrame, queries: DataFrame, corpus: DataFrame, max_
 
 
 def validate_file(spark: SparkSession, path: str, queries: DataFrame, corpus: DataFrame, max_len: int = 50) -> DataFrame:
-    """:func:`validate_rows` of a file, after its header and its rows' number of columns have been found right."""
+    """:func:`validate_rows` of a CSV file, after its header and its rows' number of columns have been found right.
+
+    The first line is the header; the same line again is a row (of an unexpected query).  Fields may be quoted, and what
+    stands between quotes is not cut at its commas; a row of one field, or of three and more, is reported whole.
+    """
     lines = spark.read.text(path)
     first = lines.select("value").first()
     if first is None or first["value"] != HEADER:
         return spark.createDataFrame([("header", "" if first is None else first["value"])], "rule string, detail string")
-    body = lines.where(F.col("value") != HEADER)
-    odd = body.where(F.size(F.split("value", ",", -1)) != 2)
+    options = {"header": "true", "enforceSchema": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_odd", "escape": '"'}
+    rows = spark.read.schema("query_id string, answer string, _odd string").options(**options).csv(path)
+    # Spark has no corrupt record without reading the others: a table of them also cuts the lineage to the file
+    read = materialize(rows, "answer")
+    odd = read.where(F.col("_odd").isNotNull())
     if odd.limit(1).count():
-        return _problem(odd, "columns", F.col("value"))
-    parts = F.split("value", ",", -1)
-    return validate_rows(body.select(parts[0].alias("query_id"), parts[1].alias("answer")), queries, corpus, max_len)
+        return _problem(odd, "columns", F.col("_odd"))
+    return validate_rows(read.select("query_id", F.coalesce("answer", F.lit("")).alias("answer")), queries, corpus, max_len)
 
 
 def compare_answers(a: DataFrame, b: DataFrame) -> DataFrame:

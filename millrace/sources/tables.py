@@ -58,7 +58,39 @@ def load_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
-load_train = load_benchmark_queries = load_benchmark_items = load_table
+def _with_schema(schema: T.StructType, extra: T.StructType | None = None):
+    names = {f.name: f.dataType for f in [*schema, *(extra or [])]}
+
+    def load(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+        df = load_table(spark, path)
+        missing = [n for n in schema.names if n not in df.columns and (columns is None or n in columns)]
+        if missing:
+            raise ValueError(f"{path} lacks {', '.join(missing)}")
+        typed = df.withColumns({c: F.col(c).cast(names[c]) for c in df.columns if c in names})
+        return typed.select(*columns) if columns else typed
+
+    return load
+
+
+#: A click: the query's columns, then the item's.
+_QUERY_PART = T.StructType([f for f in QUERY_SCHEMA if f.name != "query_id"])
+_load_queries, _load_items = _with_schema(QUERY_SCHEMA), _with_schema(ITEM_SCHEMA)
+_load_train = _with_schema(T.StructType([*_QUERY_PART, ITEM_SCHEMA["item_id"], ITEM_SCHEMA["item_title_raw"]]), T.StructType([*ITEM_SCHEMA]))
+
+
+def load_benchmark_queries(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The benchmark's queries in the types of :data:`QUERY_SCHEMA`; a missing column is an error, further ones stay."""
+    return _load_queries(spark, path, columns)
+
+
+def load_benchmark_items(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The benchmark's items in the types of :data:`ITEM_SCHEMA`."""
+    return _load_items(spark, path, columns)
+
+
+def load_train(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The click log: the columns of a query and the id and title of its item are required, other item columns are typed."""
+    return _load_train(spark, path, columns)
 
 
 def invalid_item_ids(df: DataFrame, column: str = "item_id") -> DataFrame:
@@ -135,3 +167,80 @@ def load_store(spark: SparkSession, path: str, items: DataFrame | None = None) -
     """The store, or its part for the given items."""
     store = spark.read.parquet(path)
     return store if items is None else store.join(items.select("item_id").distinct(), "item_id", "left_semi")
+
+
+class StoreWriter:
+    """An append-only store: every part of encoded items is a folder of its own, and only a finished store can be read.
+
+    A part that is appended again under the same name is left as it is, so a run that was broken off goes on where it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def append(self, items: DataFrame, part: str) -> bool:
+        """Writes a part (``item_id`` and ``encoded``); False if it is there already."""
+        folder = f"{self.path}/part={part}"
+        if exists(self.spark, f"{folder}/_SUCCESS"):
+            return False
+        build_store(items, folder)
+        return True
+
+    def finalize(self) -> DataFrame:
+        """Marks the store as complete and opens it."""
+        target = _hadoop_path(self.spark, f"{self.path}/_COMPLETE")
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(target, True).close()
+        return open_store(self.spark, self.path)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = _hadoop_path(spark, path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def open_store(spark: SparkSession, path: str, items: DataFrame | None = None) -> DataFrame:
+    """The rows of a finished store, or those of the given items; of an item in several parts the first part's."""
+    if not exists(spark, f"{path.rstrip('/')}/_COMPLETE"):
+        raise ValueError(f"the store {path} was not finished")
+    # parts are named by their folder, whose value is text whatever it looks like
+    rows = spark.read.option("basePath", path).parquet(path).withColumn("part", F.col("part").cast("string"))
+    wanted = rows if items is None else rows.join(items.select("item_id").distinct(), "item_id", "left_semi")
+    least = wanted.groupBy("item_id").agg(F.min("part").alias("part"))
+    return wanted.join(least, ["item_id", "part"]).drop("part")
+
+
+def write_parts(spark: SparkSession, path: str, keys: DataFrame, key: str, build: Callable[[DataFrame], DataFrame], parts: int, fingerprint_key: str) -> int:
+    """Writes ``build`` of each of ``parts`` hashed shares of ``keys`` as a part of its own; returns how many were written.
+
+    Finished parts under the same ``fingerprint_key`` are skipped, so a long run can be broken off and resumed.
+    """
+    written = 0
+    for k in range(parts):
+        folder = f"{path.rstrip('/')}/{fingerprint_key}/part={k:05d}"
+        if not exists(spark, f"{folder}/_SUCCESS"):
+            build(keys.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)).write.mode("overwrite").parquet(folder)
+            written += 1
+    return written
+
+
+def load_parts(spark: SparkSession, path: str, parts: int, fingerprint_key: str) -> DataFrame | None:
+    """All parts of a resumable run under the key; None if one is missing, as it is for another key (stale results)."""
+    folders = [f"{path.rstrip('/')}/{fingerprint_key}/part={k:05d}" for k in range(parts)]
+    if not all(exists(spark, f"{f}/_SUCCESS") for f in folders):
+        return None
+    return spark.read.parquet(*folders)
+
+
+def latest_checkpoint(spark: SparkSession, folder: str) -> str | None:
+    """The folder ``checkpoint-N`` of the greatest number, or None; names of another form are passed over."""
+    target = _hadoop_path(spark, folder)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        return None
+    names = [s.getPath().getName() for s in system.listStatus(target) if s.isDirectory()]
+    numbers = [int(n.removeprefix("checkpoint-")) for n in names if n.startswith("checkpoint-") and n.removeprefix("checkpoint-").isdigit()]
+    return f"{folder.rstrip('/')}/checkpoint-{max(numbers)}" if numbers else None

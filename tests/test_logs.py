@@ -193,3 +193,24 @@ def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     finished = events.withColumn("w", F.window("ts", "10 minutes")).where(F.col("w.end") <= F.lit(last) - F.expr("INTERVAL 30 MINUTES"))
     want = {r.event_type: r["count"] for r in finished.groupBy("event_type").count().collect()}
     assert {r.event_type: r.n_clicks for r in clicks.totals(got, ["event_type"]).collect()} == want
+
+
+def test_the_ranker_is_listwise_and_survives_saving(spark, tmp_path):
+    """A feature that is high for all pairs of some queries must not help: only order within a query counts."""
+    from millrace.operators import rank
+
+    draw = random.Random(3)
+    rows = []
+    for q in range(40):
+        level = draw.random() * 10
+        own = [draw.random() for _ in range(8)]
+        rows += [(q, i, level + x, x, float(x == max(own)) if q % 10 else 0.0) for i, x in enumerate(own)]
+    df = spark.createDataFrame(rows, "query_id int, item_id int, shifted double, own double, label double")
+    model = rank.train_ranker(df, ["shifted", "own"], trees=8, depth=3)
+    out = rank.predict_scores(model, df, ["shifted", "own"]).toPandas()
+    asked = out[out.query_id % 10 > 0]
+    first = asked.sort_values("score", ascending=False).groupby("query_id").head(2)
+    assert first.groupby("query_id").label.max().mean() > 0.9
+    rank.save_ranker(model, str(tmp_path / "ranker"))
+    again = rank.predict_scores(rank.load_ranker(str(tmp_path / "ranker")), df, ["shifted", "own"]).toPandas()
+    assert (again.sort_values(["query_id", "item_id"]).score.values == out.sort_values(["query_id", "item_id"]).score.values).all()

@@ -1,9 +1,13 @@
+import argparse
+import hashlib
 import json
+import shutil
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.plans import config
 from millrace.plans.config import Config, get_paths, load_config
 from millrace.sources import answer, tables
 
@@ -107,3 +111,66 @@ def test_settings(tmp_path, monkeypatch):
         load_config(None, sed=1)
     monkeypatch.setenv("MILLRACE_DATA", "/env")
     assert get_paths().data == "/env" and get_paths("/flag").table("t") == "/flag/t.parquet"
+
+
+def test_answer_files_with_quotes_and_a_second_header(spark, tmp_path):
+    queries = spark.createDataFrame([("q1",), ("query_id",)], "query_id string")
+    corpus = spark.createDataFrame([(A,)], "item_id string")
+    (tmp_path / "quoted").write_text(f'query_id,answer\n"q1","{A}"\nquery_id,\n')
+    assert answer.validate_file(spark, str(tmp_path / "quoted"), queries, corpus).count() == 0
+    (tmp_path / "again").write_text(f"query_id,answer\nq1,{A}\nquery_id,answer\n")
+    assert {r.rule for r in answer.validate_file(spark, str(tmp_path / "again"), queries, corpus).collect()} == {"bad_item_id"}
+    (tmp_path / "few").write_text("query_id,answer\nq1\n")
+    assert {r.rule for r in answer.validate_file(spark, str(tmp_path / "few"), queries, corpus).collect()} == {"columns"}
+    (tmp_path / "comma").write_text('query_id,answer\n"q,1",\n')
+    assert {(r.rule, r.detail) for r in answer.validate_file(spark, str(tmp_path / "comma"), queries, corpus).collect() if r.rule == "unexpected_query"} == {("unexpected_query", "q,1")}
+
+
+def test_a_store_is_appended_and_finished(spark, tmp_path):
+    def encoded(ids, x):
+        return spark.createDataFrame([(i, ([float(x)], {1: 1.0}, [[float(x)]])) for i in ids], "item_id string, encoded struct<dense:array<float>,sparse:map<int,float>,tokens:array<array<float>>>")
+
+    writer = tables.StoreWriter(spark, str(tmp_path / "store"))
+    assert writer.append(encoded(["a", "b"], 1), "0") and not writer.append(encoded(["a", "b"], 2), "0") and writer.append(encoded(["b", "c"], 3), "1")
+    with pytest.raises(ValueError, match="not finished"):
+        tables.open_store(spark, str(tmp_path / "store"))
+    assert {r.item_id: r.dense for r in writer.finalize().collect()} == {"a": [1.0], "b": [1.0], "c": [3.0]}
+    some = tables.open_store(spark, str(tmp_path / "store"), spark.createDataFrame([("c",), ("z",)], "item_id string"))
+    assert [r.item_id for r in some.collect()] == ["c"]
+
+
+def test_parts_are_resumed_and_stale_ones_are_not_read(spark, tmp_path):
+    keys, built = spark.range(50).selectExpr("cast(id as string) k"), []
+    build = lambda df: built.append(1) or df.selectExpr("k", "length(k) n")
+    assert tables.load_parts(spark, str(tmp_path / "p"), 3, "v1") is None
+    assert tables.write_parts(spark, str(tmp_path / "p"), keys, "k", build, 3, "v1") == 3
+    shutil.rmtree(tmp_path / "p/v1/part=00001")
+    assert tables.load_parts(spark, str(tmp_path / "p"), 3, "v1") is None
+    assert tables.write_parts(spark, str(tmp_path / "p"), keys, "k", build, 3, "v1") == 1 and len(built) == 4
+    assert tables.load_parts(spark, str(tmp_path / "p"), 3, "v1").count() == 50 and tables.load_parts(spark, str(tmp_path / "p"), 3, "v2") is None
+
+
+def test_checkpoints_schemas_models_and_arguments(spark, tmp_path):
+    for name in ("checkpoint-9", "checkpoint-100", "checkpoint-x", "other"):
+        (tmp_path / "run" / name).mkdir(parents=True)
+    assert tables.latest_checkpoint(spark, str(tmp_path / "run")).endswith("checkpoint-100") and tables.latest_checkpoint(spark, str(tmp_path / "none")) is None
+    queries = spark.createDataFrame([("q", "text", 5, 1, None, 7)], "query_id string, search_query string, search_location_id int, search_is_delivery_search int, search_infm_params_text string, search_category int")
+    queries.write.parquet(str(tmp_path / "q"))
+    assert tables.load_benchmark_queries(spark, str(tmp_path / "q")).schema.simpleString() == tables.QUERY_SCHEMA.simpleString()
+    with pytest.raises(ValueError, match="item_id"):
+        tables.load_benchmark_items(spark, str(tmp_path / "q"))
+    with pytest.raises(ValueError, match="item_title_raw"):
+        tables.load_train(spark, str(tmp_path / "q"))
+    assert tables.load_train(spark, str(tmp_path / "q"), ["search_query"]).columns == ["search_query"]
+    (tmp_path / "m").write_bytes(b"weights")
+    digest = hashlib.sha256(b"weights").hexdigest()
+    (tmp_path / "models.yaml").write_text(f"encoder: {{name: m, sha256: {digest}}}\n")
+    models = config.load_models_config(str(tmp_path / "models.yaml"))
+    assert config.ensure_models(str(tmp_path), models)["encoder"].name == "m"
+    with pytest.raises(FileNotFoundError, match="put the file absent"):
+        config.ensure_models(str(tmp_path), {"x": config.ModelFile("absent", digest)})
+    with pytest.raises(FileNotFoundError, match="damaged"):
+        config.ensure_models(str(tmp_path), {"x": config.ModelFile("m", "0" * 64)})
+    parser = argparse.ArgumentParser()
+    config.add_path_arguments(parser)
+    assert config.paths_of(parser.parse_args(["--data", "/d"])).data == "/d"

@@ -79,3 +79,20 @@ def test_haversine(spark):
     df = spark.createDataFrame([(55.75, 37.62, 59.93, 30.33), (0.0, 0.0, 0.0, 180.0), (1.0, 2.0, 1.0, 2.0), (None, 1.0, 1.0, 1.0)], "a double, b double, c double, d double")
     got = [r.x for r in df.select(text.haversine_km("a", "b", "c", "d").alias("x")).collect()]
     assert got[0] == pytest.approx(633.0, abs=2) and got[1] == pytest.approx(math.pi * text.EARTH_RADIUS_KM) and got[2:] == [0.0, None]
+
+
+def test_lemmas_are_asked_for_once_and_the_cache_is_bounded(spark):
+    import pandas as pd
+
+    from millrace.functions import hooks
+
+    asked = []
+    table = hooks.dictionary_lemmatizer({"cats": "cat", "ran": "run"})
+    cache = hooks.LemmaCache(lambda t: asked.extend(t) or table(t), 3)
+    assert cache({"cats", "ran"}) == {"cats": "cat", "ran": "run"} and cache({"cats", "dog"}) == {"cats": "cat", "dog": "dog"}
+    assert sorted(asked) == ["cats", "dog", "ran"] and len(cache.known) == 3
+    cache({"a", "b"})
+    assert len(cache.known) == 3 and "ran" not in cache.known
+    df = spark.createDataFrame([("Cats ran!",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(hooks.lemmatize_text("t", table)).collect()] == ["cat run", "", ""]
+    assert isinstance(table(pd.Series(["x"])), pd.Series)
