@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.topk import Tours, item_ids, rounded, tours_in_blocks
+from millrace.operators.topk import Tours, item_ids, tours_in_blocks
 from millrace.scratch import materialize
 
 #: Queries that are in the tasks at a time, and items whose postings a task inverts at a time.
@@ -93,7 +93,7 @@ def _terms_task(rows: list, k_global: int, k_local: int, id_type: pa.DataType, i
                     lists = [(item[bounds[t] : bounds[t + 1]], impact[bounds[t] : bounds[t + 1]] * x) for t, x in zip(own.tolist(), boost.tolist(), strict=True) if bounds[t + 1] > bounds[t]]
                     if not lists:
                         continue
-                    score = rounded(np.bincount(np.concatenate([i for i, _ in lists]), np.concatenate([w for _, w in lists]), part.num_rows))
+                    score = np.bincount(np.concatenate([i for i, _ in lists]), np.concatenate([w for _, w in lists]), part.num_rows)
                     good = np.flatnonzero(score > 0)
                     tours.add(np.full(len(good), q), names[good], places[good], score[good])
         yield from tours.batches(ids, id_type, item_type)

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from millrace.scratch import materialize
 
-#: Scores are compared, and returned, with so many digits, so that sums in another order tie alike.
+#: Scores are compared with so many digits, so that sums in another order tie alike.
 DIGITS = 9
 #: Candidates that a task holds beside the best it keeps, before it drops those that are beaten.
 SPARE = 2_000_000
@@ -24,7 +24,8 @@ def rounded(x: np.ndarray) -> np.ndarray:
 
 
 class TopK:
-    """The ``k`` best of each query by score, equal scores by the least item id; holds ``queries * k`` entries and some spare."""
+    """The ``k`` best of each query by :func:`rounded` score, equal ones by the least item id; holds ``queries * k`` entries and
+    some spare."""
 
     def __init__(self, queries: int, k: int):
         self.k = k
@@ -33,7 +34,7 @@ class TopK:
         self.held = self.limit = 0
 
     def add(self, query: np.ndarray, item: np.ndarray, score: np.ndarray) -> None:
-        good = score >= self.floor[query]
+        good = rounded(score) >= self.floor[query]
         if good.any():
             self.parts.append((query[good], item[good], score[good]))
             self.held += int(good.sum())
@@ -43,13 +44,13 @@ class TopK:
     def _drop_beaten(self) -> None:
         query, item, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         place = np.unique(item, return_inverse=True)[1]
-        order = np.lexsort((place, -score, query))
+        order = np.lexsort((place, -rounded(score), query))
         query, item, score = query[order], item[order], score[order]
         edges = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
         within = np.arange(len(query)) - np.repeat(edges, np.diff(np.append(edges, len(query))))
         keep = within < self.k
         last = within == self.k - 1
-        self.floor[query[last]] = score[last]
+        self.floor[query[last]] = rounded(score[last])
         self.parts = [(query[keep], item[keep], score[keep])]
         self.held = self.limit = int(keep.sum())
 
@@ -88,10 +89,9 @@ class Tours:
             if top is not None:
                 query, item, score = top.result()
                 for at in range(0, len(query), 100_000):
-                    q = query[at : at + 100_000]
-                    yield pa.record_batch(
-                        [ids.take(pa.array(q)), pa.array(item[at : at + 100_000], item_type), pa.array(score[at : at + 100_000]), pa.array([scope] * len(q))], names=["query_id", "item_id", "score", "scope"]
-                    )
+                    q, i, s = query[at : at + 100_000], item[at : at + 100_000], score[at : at + 100_000]
+                    columns = [ids.take(pa.array(q)), pa.array(i, item_type), pa.array(s), pa.array(rounded(s)), pa.array([scope] * len(q))]
+                    yield pa.record_batch(columns, names=["query_id", "item_id", "score", "key", "scope"])
 
 
 def item_ids(column: pa.Array) -> np.ndarray:
@@ -111,9 +111,9 @@ def tours_in_blocks(
     n = queries.count()
     blocks = max(1, -(-n // block))
     id_type, item_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(items.schema["item_id"].dataType)
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double, scope string"
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double, key double, scope string"
     limit = F.when(F.col("scope") == "global", F.lit(k_global)).otherwise(F.lit(k_local))
-    order = Window.partitionBy("query_id", "scope").orderBy(F.col("score").desc(), F.col("item_id"))
+    order = Window.partitionBy("query_id", "scope").orderBy(F.col("key").desc(), F.col("item_id"))
     out = None
     for b in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
