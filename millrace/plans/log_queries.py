@@ -159,6 +159,22 @@ def holdout_queries(t: Tables) -> DataFrame:
     return held(t).queries
 
 
+#: The second hold-out: from what the first has left, with texts that it has not chosen.
+_SECOND = """tu2 AS (SELECT norm, loc FROM rm WHERE norm NOT IN (SELECT norm FROM qy) GROUP BY ALL), tx2 AS (SELECT norm, count(*) AS n FROM tu2 GROUP BY ALL),
+se2 AS (SELECT norm, 'seen' AS stratum FROM (SELECT norm FROM tx2 WHERE n >= 2 ORDER BY md5('8|' || norm), norm LIMIT 8)),
+nw2 AS (SELECT norm, 'new' AS stratum FROM (SELECT norm FROM tx2 WHERE norm NOT IN (SELECT norm FROM se2) ORDER BY md5('8|' || norm), norm LIMIT 12)),
+ch2 AS (SELECT * FROM se2 UNION ALL SELECT * FROM nw2),
+on2 AS (SELECT norm, loc, stratum FROM (SELECT tu2.norm, tu2.loc, ch2.stratum, row_number() OVER (PARTITION BY tu2.norm ORDER BY md5(concat_ws('|', '8', tu2.norm, CAST(tu2.loc AS VARCHAR))), tu2.loc NULLS FIRST) AS rn FROM tu2 JOIN ch2 USING (norm)) WHERE rn = 1)"""
+
+
+@query(
+    "holdout_second",
+    f"WITH {_SPLIT}, {_SECOND} SELECT 'r' || lpad(CAST(row_number() OVER (ORDER BY norm) - 1 AS VARCHAR), 15, '0') AS query_id, norm AS search_query_norm, loc AS search_location_id, stratum FROM on2",
+)
+def holdout_second(t: Tables) -> DataFrame:
+    return split.make_splits(split_log(t), 40, 20, 0.385, 7, ["search_location_id"])[1].queries
+
+
 @query("holdout_qrels", f"WITH {_SPLIT} SELECT query_id, item_id FROM qr")
 def holdout_qrels(t: Tables) -> DataFrame:
     return held(t).qrels
