@@ -1,19 +1,28 @@
 """Quality: Bradley-Terry pairwise ranking of documents.
 
 A document's strength is a linear function of features of its form (shares of character classes, word lengths, repeated
-words and lines, marks glued to words) and of its words (their shares in hashed buckets).  From labelled documents, preference pairs (a better one, a worse one) are drawn;
-the logistic loss on the difference of their features gives the weights, as in a Bradley-Terry model.  The strength below
-which the known share of worse documents falls (a quantile of the training strengths) is the threshold; the score is the
-probability that a document beats one at the threshold.
-
-Fitting needs a bounded sample of labelled rows; features and scores are one narrow vectorised pass.  A long text passes in
-blocks of half a megabyte whose sums add up, so memory is bounded but for eight bytes for each of its distinct words and
-lines; a line of more than a block counts as lines of that size.
+words and lines, marks glued to words) and of its words (their shares in hashed buckets).  Every labelled document that may
+be learned from is preferred, or not, to every one of the other label; the logistic loss on the differences of the features
+of all these pairs gives the weights, as in a Bradley-Terry model.  The strength below which the known share of worse
+documents falls (a quantile of the training strengths) is the threshold; the score is the probability that a document beats
+one at the threshold.
+
+The pairs are never rows.  A document's part in the gradient depends on its own strength and on how the strengths of the
+other label lie, so an evaluation is two passes over a table of the labelled documents' features: one counts strengths at
+the nodes of a grid of 1/64 (between two nodes by distance), one sums features weighted by the mean probability of losing to
+(or beating) the other label, taken from that grid; linear interpolation at this width moves a probability by less than 1e-5.
+What comes to the driver are sums of fixed size.
+
+Features and scores are one narrow vectorised pass.  A long text passes in blocks of half a megabyte whose sums add up, so
+memory is bounded but for eight bytes for each of its distinct words and lines; a line of more than a block counts as lines
+of that size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,15 +30,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BLOCK_ROWS, adam, hash_spans, held_out, labelled_sample, sigmoid, text_word_spans, utf8_blocks
+from millrace.llm.common import BLOCK_ROWS, fold, hash_spans, held_out, materialize, sigmoid, text_word_spans, utf8_blocks
+from millrace.scratch import temporary
 
-#: Rows of each class that the model is fitted on, at most (in expectation), and preference pairs drawn from them.
-PER_CLASS = 1500
-PAIRS = 20_000
 #: Buckets of word hashes, and how much stronger their weights are held down than those of the form.
 WORD_BUCKETS, WORD_PENALTY = 256, 100.0
 #: Standardised features are clipped to this range, so that one odd value does not decide.
 CLIP = 6.0
+#: Nodes of the grid of strengths to a unit, and the strength at its ends, where stronger ones count.
+GRID, REACH = 64, 512
+#: Steps of the fit, at most, and the gain of a step (in loss) below which it ends.
+STEPS, LEAST_GAIN = 40, 1e-6
+#: Strengths around the threshold that come to the driver, at most.
+NEAREST = 50_000
+#: Cells that the threshold is narrowed down by.
+CELLS = 1 << 12
+#: Bits for each labelled id of the bitmap that spares other texts a join, and bits of it at most.
+BITS_PER_ID, MOST_BITS = 32, 1 << 28
+_N_NODES = 2 * REACH * GRID + 1
 
 #: Marks whose share of all bytes is a feature of its own.
 MARKS = b"|!%#$&*@<>{}[]=_/\\~^+;:?.,-"
@@ -151,42 +169,228 @@ class QualityModel:
         return np.clip((x - self.mean) / self.scale, -CLIP, CLIP) @ self.weights
 
 
-def fit(rows: list[tuple[int, str, int]], pairs: int = PAIRS, l2: float = 1e-4, share_worse: float | None = None, seed: int = 0) -> QualityModel:
-    """Fits on (id, text, label) rows; ``share_worse`` is the share of label 0 that sets the threshold's quantile.
+Step = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]
+#: Runs a step (features, labels -> arrays) over all labelled rows, block by block, and puts together what it gives.
+Pass = Callable[..., list[np.ndarray]]
 
-    Without rows of both classes all documents have the same strength and score 0.5.
+
+def _added(parts: Iterator[list[np.ndarray]]) -> list[np.ndarray]:
+    total: list[np.ndarray] = []
+    for part in parts:
+        total = [a + b for a, b in zip(total, part, strict=True)] if total else part
+    return total
+
+
+def _distinct(parts: Iterator[list[np.ndarray]]) -> list[np.ndarray]:
+    """Sorted distinct values with their counts for each label, of parts of that form."""
+    held = list(parts)
+    if not held:
+        return []
+    values, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+    return [values, np.stack([np.bincount(inverse, np.concatenate([h[1][k] for h in held]), len(values)) for k in (0, 1)])]
+
+
+def _local_pass(x: np.ndarray, y: np.ndarray) -> Pass:
+    def run(step: Step, together: Callable = _added) -> list[np.ndarray]:
+        return together(step(x[k : k + BLOCK_ROWS], y[k : k + BLOCK_ROWS]) for k in range(0, len(y), BLOCK_ROWS))
+
+    return run
+
+
+def _table_pass(table: DataFrame) -> Pass:
+    """Passes over a table ``y, x``: a task puts its own rows together, the driver the tasks."""
+
+    def run(step: Step, together: Callable = _added) -> list[np.ndarray]:
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+            for batch in batches:
+                for k in range(0, batch.num_rows, BLOCK_ROWS):
+                    part = batch.slice(k, BLOCK_ROWS)
+                    x = np.frombuffer(b"".join(part.column("x").to_pylist()), np.float32).reshape(part.num_rows, -1)
+                    yield step(x.astype(float), part.column("y").to_numpy())
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = together(blocks(batches))
+            if own:
+                yield pa.record_batch([pa.array([zlib.compress(pickle.dumps(own), 1)], pa.binary())], names=["own"])
+
+        return together(pickle.loads(zlib.decompress(r["own"])) for r in table.mapInArrow(task, "own binary").collect())
+
+    return run
+
+
+def _nodes(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grid's node below each strength, and the strength's part of the way to the next."""
+    at = np.clip((s + REACH) * GRID, 0, _N_NODES - 1.001)
+    low = at.astype(np.int64)
+    return low, at - low
+
+
+def _grid_counts(s: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many strengths of each label lie at each node; one between two nodes is shared by distance."""
+    low, part = _nodes(s)
+    low += y * _N_NODES
+    return (np.bincount(low, 1 - part, 2 * _N_NODES) + np.bincount(low + 1, part, 2 * _N_NODES)).reshape(2, _N_NODES)
+
+
+def _meetings(counts: np.ndarray) -> tuple[float, int, np.ndarray]:
+    """(mean loss over all pairs, first node, and from there on the mean probability of each label at each node of the wrong
+    outcome) of the strengths' counts."""
+    held = np.flatnonzero(counts.any(axis=0))
+    lo = max(int(held[0]) - 1, 0)  # a node more on either side, should a sum be rounded otherwise the next time
+    worse, better = counts[:, lo : int(held[-1]) + 3] / counts.sum(axis=1, keepdims=True)
+    n = len(worse)
+    lead = np.arange(1 - n, n) / GRID  # of one strength over another
+    size = 1 << (3 * n).bit_length()
+
+    def meet(kernel: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return np.fft.irfft(np.fft.rfft(kernel, size) * np.fft.rfft(others, size), size)[n - 1 : 2 * n - 1]
+
+    return float(worse @ meet(np.logaddexp(0, lead), better)), lo, np.stack([meet(sigmoid(lead), better), meet(sigmoid(-lead), worse)])
+
+
+def _fit_weights(each: Pass, mean: np.ndarray, scale: np.ndarray, sizes: np.ndarray, held_down: np.ndarray) -> np.ndarray:
+    """The weights of least loss over all pairs: L-BFGS whose first metric is the curvature where all strengths are equal."""
+
+    def standard(x: np.ndarray) -> np.ndarray:
+        return np.clip((x - mean) / scale, -CLIP, CLIP)
+
+    def spread(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        z = standard(x)
+        return [np.stack([z[y == k].sum(axis=0) for k in (0, 1)]), (z.T @ (z / sizes[y][:, None])).astype(np.float32)]
+
+    def loss_at(w: np.ndarray) -> tuple[float, int, np.ndarray]:
+        (counts,) = each(lambda x, y: [_grid_counts(standard(x) @ w, y)])
+        loss, lo, wrong = _meetings(counts)
+        return loss + float(held_down @ w**2) / 2, lo, wrong
+
+    def gradient(w: np.ndarray, lo: int, wrong: np.ndarray) -> np.ndarray:
+        def step(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+            z = standard(x)
+            low, part = _nodes(z @ w)
+            chance = wrong[y, low - lo] * (1 - part) + wrong[y, low - lo + 1] * part
+            return [(chance * np.where(y == 1, -1.0, 1.0) / sizes[y]) @ z]
+
+        return each(step)[0] + held_down * w
+
+    sums, products = each(spread)
+    m0, m1 = sums / sizes[:, None]
+    curvature = (products - np.outer(m0, m0) - np.outer(m1, m1) + np.outer(m1 - m0, m1 - m0)) / 4
+    metric = np.linalg.inv(curvature + np.diag(held_down + 1e-6))
+    w = np.zeros(len(mean))
+    loss, *met = loss_at(w)
+    g = gradient(w, *met)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        q, shares = g.copy(), []
+        for s, t in reversed(past):
+            shares.append((s @ q) / (s @ t))
+            q -= shares[-1] * t
+        q = metric @ q
+        if past:
+            s, t = past[-1]
+            q *= (s @ t) / (t @ metric @ t)
+        for (s, t), share in zip(past, reversed(shares), strict=True):
+            q += (share - (t @ q) / (s @ t)) * s
+        rate, new = 1.0, np.inf
+        while rate > 1e-3:
+            new, *met = loss_at(w - rate * q)
+            if new <= loss - 1e-4 * rate * (g @ q):
+                break
+            rate /= 2
+        gain = loss - new
+        if not gain > 0:
+            break
+        moved = gradient(w - rate * q, *met)
+        if -rate * (q @ (moved - g)) > 1e-14:
+            past = [*past[-9:], (-rate * q, moved - g)]
+        w, g, loss = w - rate * q, moved, new
+        if gain < LEAST_GAIN:
+            break
+    return w
+
+
+def _threshold(each: Pass, strength: Callable[[np.ndarray], np.ndarray], sizes: np.ndarray, share: float) -> float:
+    """The middle of the widest gap among the strengths nearest to the quantile ``share``, where each label has that share.
+
+    Counts in ever narrower cells lead to a stretch of few strengths, which are then looked at one by one.
     """
-    y = np.array([r[2] for r in rows])
+    weight, total = np.array([share, 1 - share]) / sizes, int(sizes.sum())
+    lo, hi, under = -REACH - 1.0, REACH + 1.0, np.zeros(2)
+    clipped = lambda x: np.clip(strength(x), -REACH, REACH)
+
+    def first_at(counts: np.ndarray) -> int:
+        return min(int(np.searchsorted(weight @ (under[:, None] + np.cumsum(counts, axis=1)), share - 1e-12)), counts.shape[1] - 1)
+
+    for _ in range(4):
+        edges = np.linspace(lo, hi, CELLS + 1)
+
+        def count(x: np.ndarray, y: np.ndarray, edges: np.ndarray = edges) -> list[np.ndarray]:
+            cell = np.searchsorted(edges, clipped(x), "right") - 1
+            own = (cell >= 0) & (cell < CELLS)
+            return [np.bincount(y[own] * CELLS + cell[own], minlength=2 * CELLS).reshape(2, CELLS)]
+
+        (counts,) = each(count)
+        rows = under.sum() + np.cumsum(counts.sum(axis=0))
+        at = first_at(counts)
+        # the cells of the quantile and of three strengths on either side
+        before, behind = max((rows[at - 1] if at else under.sum()) - 3, under.sum()), min(rows[at] + 2, rows[-1] - 1)
+        a, b = int(np.searchsorted(rows, before, "right")), int(np.searchsorted(rows, behind, "right"))
+        lo, hi, under = edges[a], edges[b + 1], under + counts[:, :a].sum(axis=1)
+        if counts[:, a : b + 1].sum() <= NEAREST:
+            break
+
+    def look(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        s = clipped(x)
+        own = (s >= lo) & (s < hi)
+        return [s[own], np.stack([y[own] == 0, y[own] == 1]).astype(float)]
+
+    values, counts = each(look, _distinct)
+    rows, at = under.sum() + np.cumsum(counts.sum(axis=0)), first_at(counts)
+    # of equal strengths the quantile takes as many as it needs
+    start = rows[at] - counts[:, at].sum()
+    below = float(weight @ (under + counts[:, :at].sum(axis=1)))
+    k = start + max(np.ceil((share - below - 1e-12) / (weight @ counts[:, at]) * counts[:, at].sum()) - 1, 0)
+    k = min(k, total - 2)
+    near = np.arange(max(k - 2, 0), min(k + 3, total - 1))
+    here = lambda k: values[np.minimum(np.searchsorted(rows, k, "right"), len(values) - 1)]
+    g = near[(here(near + 1) - here(near)).argmax()]
+    return float((here(g) + here(g + 1)) / 2)
+
+
+def _fit(each: Pass, l2: float, share_worse: float | None) -> QualityModel:
     size = len(NAMES)
-    better, worse = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(better) or not len(worse):
+    sums = each(lambda x, y: [np.bincount(y, minlength=2).astype(float), x.sum(axis=0)])
+    if not sums or not sums[0].all():
         return QualityModel(np.zeros(size), np.ones(size), np.zeros(size), 0.0)
+    sizes, mean = sums[0], sums[1] / sums[0].sum()
+    (squares,) = each(lambda x, y: [((x - mean) ** 2).sum(axis=0)])
+    scale = np.maximum(np.sqrt(squares / sizes.sum()), 1e-6)
+    held_down = l2 * np.where(np.arange(size) < _FORM, 1.0, WORD_PENALTY)
+    model = QualityModel(mean, scale, _fit_weights(each, mean, scale, sizes, held_down), 0.0)
+    model.threshold = _threshold(each, model.strength, sizes, sizes[0] / sizes.sum() if share_worse is None else share_worse)
+    return model
+
+
+def fit(rows: list[tuple[int, str, int]], l2: float = 1e-4, share_worse: float | None = None) -> QualityModel:
+    """Fits on all (id, text, label) rows; ``share_worse`` is the share of label 0 that sets the threshold's quantile, by
+    default that of the rows.
+
+    Without rows of both classes all documents have the same strength and score 0.5.
+    """
     x = features(pa.array([r[1] for r in rows], pa.large_string()))
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    z = np.clip((x - mean) / scale, -CLIP, CLIP)
-    draw = np.random.default_rng(seed)
-    difference = z[draw.choice(better, pairs)] - z[draw.choice(worse, pairs)]
+    return _fit(_local_pass(x, np.array([r[2] for r in rows], np.int64)), l2, share_worse)
 
-    held_down = l2 * np.where(np.arange(size) < _FORM, 1.0, WORD_PENALTY)
 
-    def gradient(w: np.ndarray) -> np.ndarray:
-        return -(sigmoid(-(difference @ w)) @ difference) / pairs + held_down * w
-
-    w = adam(gradient, np.zeros(size), 300, 0.05)
-    model = QualityModel(mean, scale, w, 0.0)
-    s = z @ w
-    share = share_worse if share_worse is not None else len(worse) / len(y)
-    # each class counts with its true share, however many of its rows were sampled
-    weight = np.where(y == 0, share / len(worse), (1 - share) / len(better))
-    order = np.argsort(s)
-    below = np.cumsum(weight[order])
-    k = min(int(np.searchsorted(below, share)), len(s) - 2)
-    # the middle of the widest gap among the strengths nearest that quantile
-    near = np.arange(max(k - 2, 0), min(k + 3, len(s) - 1))
-    gaps = s[order][near + 1] - s[order][near]
-    g = near[gaps.argmax()]
-    model.threshold = float((s[order][g] + s[order][g + 1]) / 2)
-    return model
+def _features_column(text: Column) -> Column:
+    """The features of each text as 32-bit numbers."""
+
+    @F.arrow_udf("binary")
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [features(batch.slice(k, BLOCK_ROWS)).astype(np.float32) for k in range(0, len(batch), BLOCK_ROWS)]
+            yield pa.array([row.tobytes() for part in parts for row in part], pa.binary())
+
+    return packed(text)
 
 
 def quality_score(text: Column, model: QualityModel) -> Column:
@@ -201,20 +405,55 @@ def quality_score(text: Column, model: QualityModel) -> Column:
     return score(text)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-    share = known.agg(F.avg((F.col("quality") == 0).cast("double")).alias("s")).first()["s"]
-    return fit(labelled_sample(docs, labels, "quality", per_class), share_worse=share)
+def _may_be_among(ids: Column, known: DataFrame) -> Column:
+    """True for each id of ``known``, and for few others: one bit of a bitmap for each hash, which is broadcast.
+
+    It spares texts a join; who passes is joined, so the bitmap's size costs time and no results.
+    """
+    bits = min(MOST_BITS, 1 << max(12, (known.count() * BITS_PER_ID - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(bits))
+    each = known.select(place(F.col("doc_id")).alias("b"))
+    found = each.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("v")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[found.column("w").to_numpy()] = found.column("v").to_numpy().view(np.uint64)
+    shared = known.sparkSession.sparkContext.broadcast(words)
+
+    @F.arrow_udf("boolean")
+    def isset(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return isset(place(ids))
+
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``y, x``: label and features of every labelled document that may be learned from.
+
+    An id counts once however often either table repeats it, with its least label and that of its texts of least md5.
+    """
+    learned = lambda: F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 3) != 1)
+    own = labels.where(F.col("quality").isin(0, 1) & learned())
+    known = materialize(own.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("y")), "known")
+    texts = docs.where(learned()).where(_may_be_among(F.col("doc_id"), known))
+    rows = texts.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("which"), _features_column(F.col("text")).alias("x"))
+    once = rows.groupBy("doc_id").agg(F.min_by("x", "which").alias("x"))
+    return materialize(once.join(known, "doc_id").select("y", "x"), "features")
+
+
+def train(docs: DataFrame, labels: DataFrame, l2: float = 1e-4) -> QualityModel:
+    """Fits on every labelled row outside the held-out fold; the tables that it makes are gone when it returns."""
+    with temporary(docs.sparkSession):
+        return _fit(_table_pass(_labelled(docs, labels)), l2, None)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``; ``predicted`` is 1 from a score of 0.5.
 
     Nulls: a null text is an empty one; a null id gives ``held_out`` false and is never learned from; null labels are
     ignored.  Repeated rows are scored each; an empty table gives an empty result; without labels of both classes all
     documents score 0.5.  Ties: equal texts have equal scores.  Other columns are ignored, whatever their names.  A text of
-    any length is scored whole, in bounded memory.
+    any length is learned from and scored whole, in bounded memory.
     """
-    model = train(docs, labels, per_class)
+    model = train(docs, labels)
     scored = docs.select(F.col("doc_id"), held_out(F.col("doc_id"), 3, 1).alias("held_out"), quality_score(F.col("text"), model).alias("score"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

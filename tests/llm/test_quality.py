@@ -104,3 +104,55 @@ def test_the_query_equals_the_model_text_by_text(spark):
         text = next((t for k, t, _ in rows if k == r.doc_id), "")
         z = np.clip((quality.features(pa.array([text]))[0] - model.mean) / model.scale, -quality.CLIP, quality.CLIP) @ model.weights - model.threshold
         assert np.isclose(r.score, 1 / (1 + np.exp(-z))) and r.predicted == int(r.score >= 0.5)
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    from millrace.llm.common import fold
+
+    draw = random.Random(7)
+    rows = [(k, f"{'spam! ' if k % 2 else 'tree, '}{draw.choice('abcdef')} {draw.randint(0, 99)}", int(k % 2 == 0)) for k in range(5200)]
+    rows.append((5200, "stone " * 20_000, 1))  # of more code points than a sample had room for
+    df = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id bigint, quality int")
+    learned = {r.doc_id for r in df.where(fold(df.doc_id, 3) != 1).select("doc_id").collect()}
+    assert 5200 in learned and len(learned) > 3000
+    x = quality.features(pa.array([t for k, t, _ in rows if k in learned]))
+    model = quality.train(df, labels)
+    assert np.allclose(model.mean, x.mean(axis=0), atol=1e-6) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6), atol=1e-6)
+    # and the model is that of the same rows in memory
+    local = quality.fit([r for r in rows if r[0] in learned])
+    assert np.allclose(model.strength(x) - model.threshold, local.strength(x) - local.threshold, atol=0.02)
+
+
+def test_loss_and_its_slope_are_those_of_all_pairs():
+    draw = np.random.default_rng(0)
+    s, y = draw.normal(0, 3, 400), (np.arange(400) % 3 > 0).astype(np.int64)
+    loss, lo, wrong = quality._meetings(quality._grid_counts(s, y))
+    lead = s[y == 0][:, None] - s[y == 1]
+    assert abs(loss - np.logaddexp(0, lead).mean()) < 1e-5
+    chance = 1 / (1 + np.exp(-lead))
+    low, part = quality._nodes(s)
+    got = wrong[y, low - lo] * (1 - part) + wrong[y, low - lo + 1] * part
+    assert np.allclose(got[y == 0], chance.mean(axis=1), atol=1e-5) and np.allclose(got[y == 1], chance.mean(axis=0), atol=1e-5)
+
+
+def test_threshold_equals_sorting(monkeypatch):
+    draw = np.random.default_rng(1)
+    monkeypatch.setattr(quality, "NEAREST", 10)
+    for strengths in (draw.normal(0, 4, 5000), np.round(draw.normal(0, 1, 5000), 1), np.repeat([-1.0, 2.0], 2500), np.zeros(5000)):
+        y = (strengths + draw.normal(0, 1, 5000) > -1).astype(np.int64)
+        sizes = np.bincount(y, minlength=2).astype(float)
+        if not sizes.all():
+            y[:100] = 1 - y[:100]
+            sizes = np.bincount(y, minlength=2).astype(float)
+        for share in (sizes[0] / 5000, 0.1, 0.999):
+            got = quality._threshold(quality._local_pass(strengths, y), lambda x: x, sizes, share)
+            order = np.argsort(strengths, kind="stable")
+            s, below = strengths[order], np.cumsum(np.where(y == 0, share / sizes[0], (1 - share) / sizes[1])[order])
+            at = min(int(np.searchsorted(below, share - 1e-12)), 4998)
+            tied = np.flatnonzero(s == s[at])
+            assert s[max(tied[0] - 3, 0)] <= got <= s[min(tied[-1] + 4, 4999)]
+            if len(tied) == 1:
+                near = np.arange(max(at - 2, 0), min(at + 3, 4999))
+                g = near[(s[near + 1] - s[near]).argmax()]
+                assert got == (s[g] + s[g + 1]) / 2
