@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import frugal
+
 #: Entries in a task's table of known encodings, and the longest pre-token (in characters) that it holds.
 CACHE_ENTRIES = 200_000
 CACHE_LENGTH = 64
@@ -322,6 +324,7 @@ def encode_column(text: Column, path: str | None = None, pattern: str | None = N
     path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
 
     @F.arrow_udf("array<int>")
+    @frugal
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
@@ -342,6 +345,7 @@ def decode_column(ids: Column, path: str | None = None, pattern: str | None = No
     path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
 
     @F.arrow_udf("binary")
+    @frugal
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
@@ -378,6 +382,7 @@ def digest_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    @frugal
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = tokenizer(path, pattern)
         for batch in batches:

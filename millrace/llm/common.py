@@ -7,7 +7,9 @@ comes in pieces, cut behind a line's end or a space (a run of a quarter megabyte
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,34 @@ def labelled_sample(
     return sorted((r["doc_id"], r["text"], r["y"]) for r in once.collect())
 
 
+# ---- workers ---------------------------------------------------------------------------------------------------------
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system; allocators keep a peak otherwise, and a worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """A function from batches to results that releases what it freed after each of them."""
+
+    @wraps(run)
+    def inner(batches):
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                release()
+        finally:
+            release()
+
+    return inner
+
+
 # ---- blocks of text --------------------------------------------------------------------------------------------------
 
 

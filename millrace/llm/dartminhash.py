@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, mix, whole_word_blocks, window_hash
+from millrace.llm.common import frugal, materialize, mix, whole_word_blocks, window_hash
 from millrace.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -144,6 +144,7 @@ def bands(text: Column, n_bands: int = BANDS, rows: int = ROWS) -> Column:
     """``array<bigint>``: a key for each band of a text's signature; none for a text without words."""
 
     @F.arrow_udf("array<bigint>")
+    @frugal
     def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             sizes, flat = np.zeros(len(batch), np.int64), []
@@ -164,6 +165,7 @@ def weighted_shingles(text: Column) -> Column:
     """``array<int>``: a hash of each shingle and of which occurrence it is, so equal counts share equal elements."""
 
     @F.arrow_udf("array<int>")
+    @frugal
     def elements(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             sizes, flat = np.zeros(len(batch), np.int64), []
@@ -237,6 +239,7 @@ def _links_of_rest(rest: DataFrame, others: DataFrame, similarity: float) -> Dat
     x = rest.select("band", part(F.col("xs")).alias("x"), all_of(F.col("ys")).alias("y"), F.lit(True).alias("is_left"), "node", "label", "s")
     y = others.select("band", all_of(F.col("xs")).alias("x"), part(F.col("ys")).alias("y"), F.lit(False).alias("is_left"), "node", "label", "s")
 
+    @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import hash_spans, materialize, mix, text_word_spans, utf8_blocks, window_hash
+from millrace.llm.common import frugal, hash_spans, materialize, mix, text_word_spans, utf8_blocks, window_hash
 
 #: Selected positions are 1.  By the least and the most tokens of the items that they are for.
 MASKS = {
@@ -426,6 +426,7 @@ def document_pieces(text: Column, benchmark: Benchmark) -> Column:
     words, masks, longest = benchmark.seeds.sparkSession.sparkContext.broadcast(benchmark.filter_words()), benchmark.masks, benchmark.longest
 
     @F.arrow_udf(_PIECES_DDL)
+    @frugal
     def seek(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seeker = Seeker(masks, longest, words.value)
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SAMPLE_CHARS, below, fold, held_out, word_blocks
+from millrace.llm.common import SAMPLE_CHARS, below, fold, frugal, held_out, word_blocks
 
 #: Documents of each language that the model is fitted on, at most (in expectation), of :data:`SAMPLE_CHARS` at most.
 PER_LANGUAGE = 300
@@ -345,6 +345,7 @@ def language(text: Column, model: LanguageModel) -> Column:
     """``struct<lang_pred, score>`` of a text column."""
 
     @F.arrow_udf(_RESULT)
+    @frugal
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _Scorer(model)
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import adam, code_point_blocks, held_out, labelled_sample, mix, sigmoid
+from millrace.llm.common import adam, code_point_blocks, frugal, held_out, labelled_sample, mix, sigmoid
 
 ORDERS = (3, 4, 5, 6)
 #: Rows of each class that the model is fitted on, at most (in expectation).
@@ -141,6 +141,7 @@ def toxicity_score(text: Column, model: ToxicityModel) -> Column:
     """Score between 0 and 1 of a text column; null and empty texts score the intercept."""
 
     @F.arrow_udf("double")
+    @frugal
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _Scorer(model)
         for batch in batches:
