@@ -1,6 +1,12 @@
 """What the queries move and keep must not outgrow their input."""
 
+from pyspark.sql import functions as F
+
 from millrace.operators import features
+from millrace.plans import registry, retrieval_queries
+
+FOLDER = "/root/testdata/sf0.001"
+QUERIES = registry.queries()
 
 
 
@@ -9,3 +15,16 @@ def test_pool_ranks_compare_all_digits_where_asked(spark):
     merged = spark.createDataFrame([], "query_id int, item_id int, rank int")
     ranks = lambda **o: {r.item_id: r.dense_cos_rank_in_pool for r in features.add_pool_features(frame, merged, 9, ["dense_cos"], **o).collect()}
     assert ranks() == {1: 1, 2: 2, 3: 3} and ranks(digits=None) == {2: 1, 1: 2, 3: 3}
+
+
+def test_maxsim_expression_makes_no_table_of_pairs(spark, monkeypatch):
+    made = []
+
+    def counted(df, label, real=retrieval_queries.materialize):
+        out = real(df, label)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(retrieval_queries, "materialize", counted)
+    pairs = QUERIES["maxsim_expression"](spark, FOLDER).count()
+    assert pairs > max(made) and max(made) == spark.read.parquet(f"{FOLDER}/embeddings.parquet").select(F.floor(F.col("vec_id") / 4)).distinct().count()
