@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import vector
+from millrace.operators.fusion import rank_by
 from millrace.plans.context import centroids_without
 from millrace.plans.registry import Tables, query
 from millrace.plans.rank_queries import _ANSWERS, answers
@@ -65,7 +66,9 @@ def resumable_parts(t: Tables) -> DataFrame:
 )
 def training_lines(t: Tables) -> DataFrame:
     pairs = t.customer.select(F.col("c_name").alias("search_query_norm"), F.col("c_custkey").alias("item_id"), F.col("c_name").alias("query"), F.col("c_mktsegment").alias("pos"), "c_nationkey")
-    lists = t.supplier.groupBy("s_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: x["s_name"]).alias("negatives"))
+    # a line has one negative, so of a nation's suppliers the first is gathered and not all of them
+    first = rank_by(t.supplier.select("s_nationkey", "s_suppkey", "s_name"), [F.col("s_suppkey")], 1, "s_nationkey")
+    lists = first.select("s_nationkey", F.array("s_name").alias("negatives"))
     negatives = pairs.join(lists, F.col("c_nationkey") == F.col("s_nationkey")).select("search_query_norm", "item_id", "negatives")
     path = _path(t, "lines")
     tables.write_training_jsonl(pairs, negatives, path, 1)

@@ -145,10 +145,10 @@ def write_training_jsonl(pairs: DataFrame, negatives: DataFrame, path: str, n: i
     """JSON lines ``{"query", "pos": [..], "neg": [..]}`` of pairs with at least ``n`` negatives; returns their number.
 
     ``pairs`` has ``search_query_norm, item_id, query, pos``, ``negatives`` has ``search_query_norm, item_id, negatives``
-    (an array of texts).
+    (an array of texts).  Only the ``n`` texts that are written go to the join, however long the arrays are.
     """
-    joined = pairs.join(negatives, ["search_query_norm", "item_id"]).where(F.size("negatives") >= n)
-    groups = joined.select("query", F.array("pos").alias("pos"), F.slice("negatives", 1, n).alias("neg"))
+    heads = negatives.where(F.size("negatives") >= n).select("search_query_norm", "item_id", F.slice("negatives", 1, n).alias("neg"))
+    groups = pairs.join(heads, ["search_query_norm", "item_id"]).select("query", F.array("pos").alias("pos"), "neg")
     groups.write.mode("overwrite").json(path)
     return groups.sparkSession.read.schema("query string, pos array<string>, neg array<string>").json(path).count()
 

@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from millrace.operators import features
-from millrace.plans import registry, retrieval_queries
+from millrace.plans import registry, retrieval_queries, source_queries
+from millrace.sources import tables
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = registry.queries()
 
 
-
 def test_pool_ranks_compare_all_digits_where_asked(spark):
     frame = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.5 + 1e-12), (0, 3, 0.5)], "query_id int, item_id int, dense_cos double")
     merged = spark.createDataFrame([], "query_id int, item_id int, rank int")
@@ -28,3 +28,15 @@ def test_maxsim_expression_makes_no_table_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(retrieval_queries, "materialize", counted)
     pairs = QUERIES["maxsim_expression"](spark, FOLDER).count()
     assert pairs > max(made) and max(made) == spark.read.parquet(f"{FOLDER}/embeddings.parquet").select(F.floor(F.col("vec_id") / 4)).distinct().count()
+
+
+def test_training_lines_carry_no_more_than_they_write(spark, monkeypatch):
+    carried = []
+
+    def write(pairs, negatives, path, n, real=tables.write_training_jsonl):
+        carried.append(negatives.agg(F.max(F.size("negatives"))).first()[0] - n)
+        return real(pairs, negatives, path, n)
+
+    monkeypatch.setattr(source_queries.tables, "write_training_jsonl", write)
+    QUERIES["training_lines"](spark, "/root/testdata/sf0.01")
+    assert carried == [0]
