@@ -1,8 +1,9 @@
 """What the queries move and keep must not outgrow their input."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import features
+from millrace.operators import features, topk, vector
 from millrace.plans import registry, retrieval_queries, source_queries
 from millrace.sources import tables
 
@@ -40,3 +41,27 @@ def test_training_lines_carry_no_more_than_they_write(spark, monkeypatch):
     monkeypatch.setattr(source_queries.tables, "write_training_jsonl", write)
     QUERIES["training_lines"](spark, "/root/testdata/sf0.01")
     assert carried == [0]
+
+
+def test_many_queries_are_dealt_to_tasks(spark, monkeypatch):
+    """What tasks pass on does not grow with the items' partitions, nor a task's queries with the block."""
+    monkeypatch.setattr(topk, "TASK_QUERIES", 8)
+    monkeypatch.setattr(topk, "PASSED_ON", 40 * 3 * 2)
+    sizes, draw = [], np.random.default_rng(1)
+    docs, asks = draw.normal(size=(200, 4)), draw.normal(size=(40, 4))
+    items = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(docs)], "item_id int, vec array<double>, location int").repartition(20)
+    queries = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(asks)], "query_id int, vec array<double>, location int")
+    task = vector._dense_task
+    monkeypatch.setattr(vector, "_dense_task", lambda rows, *a: sizes.append(len(rows)) or task(rows, *a))
+    found = {}
+    for r in sorted(vector.dense_tour(queries, items, 3).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.item_id)
+    assert sizes == [8] * 5
+    assert found == {q: np.argsort(-(docs @ v), kind="stable")[:3].tolist() for q, v in enumerate(asks)}
+
+
+def test_top_k_keeps_little_beside_the_best():
+    top = topk.TopK(1, 10)
+    for at in range(0, 1_000_000, 1000):
+        top.add(np.zeros(1000, np.int64), np.arange(at, at + 1000), np.full(1000, 1.0 * at))
+        assert top.held < 300_000
