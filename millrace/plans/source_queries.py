@@ -10,7 +10,7 @@ from millrace.operators.fusion import rank_by
 from millrace.plans.context import centroids_without
 from millrace.plans.registry import Tables, query
 from millrace.plans.rank_queries import _ANSWERS, answers
-from millrace.plans.retrieval_queries import _BM25, _GEO, _ROUNDED, _SPARSE, bm25_tours, geo_history, geo_items, sparse_sides
+from millrace.plans.retrieval_queries import _BM25, _GEO, _ROUNDED, _SPARSE, bm25_tours, geo_history, geo_items, sparse_sides, weights
 from millrace.scratch import scratch_path
 from millrace.sources import answer, tables
 
@@ -112,4 +112,7 @@ def centroids_without_positives(t: Tables) -> DataFrame:
 )
 def pair_sparse(t: Tables) -> DataFrame:
     q, d = sparse_sides(t)
-    return vector.pair_sparse(bm25_tours(t)[0].select("query_id", "item_id"), q, d).select("query_id", "item_id", "sparse_score")
+    pairs = bm25_tours(t)[0].select("query_id", "item_id")
+    # only documents of the pairs are counted
+    held = weights(d.join(pairs.select("item_id").distinct(), "item_id", "left_semi"), "item_id", "terms")
+    return vector.pair_sparse(pairs, q, held).select("query_id", "item_id", "sparse_score")

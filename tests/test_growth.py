@@ -1,10 +1,13 @@
 """What the queries move and keep must not outgrow their input."""
 
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import features, topk, vector
-from millrace.plans import registry, retrieval_queries, source_queries
+from millrace.operators import features, lexical, topk, vector
+from millrace.plans import rank_queries, registry, retrieval_queries, source_queries
 from millrace.sources import tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -43,6 +46,54 @@ def test_training_lines_carry_no_more_than_they_write(spark, monkeypatch):
     assert carried == [0]
 
 
+def _exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_bm25_scores_are_a_narrow_pass(spark):
+    assert _exchanges(QUERIES["bm25_field_scores"](spark, FOLDER)) == 0
+
+
+def test_bm25_rankings_shuffle_the_best_items_alone(spark, monkeypatch):
+    made = []
+
+    def planned(df, label, real=topk.materialize):
+        made.append((_exchanges(df), df.columns))
+        return real(df, label)
+
+    monkeypatch.setattr(topk, "materialize", planned)
+    QUERIES["bm25f_topk_local"](spark, FOLDER).count()
+    QUERIES["sparse_topk"](spark, FOLDER).count()
+    assert made == [(1, ["query_id", "item_id", "scope", "score", "rank"])] * 2
+
+
+def test_qrels_move_no_texts(spark):
+    plan = rank_queries.qrels(registry.Tables(spark, FOLDER))._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line and "query_id" not in line] and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("dense", [0, 1000])
+@pytest.mark.parametrize("block", [2, 4096])
+def test_bm25_passes_equal_the_postings(spark, monkeypatch, dense, block):
+    monkeypatch.setattr(lexical, "DENSE_TERMS", dense)
+    monkeypatch.setattr(lexical, "TOKEN_SLICE", 30)
+    draw = random.Random(2)
+    text = lambda n: [f"w{draw.randrange(12)}" for _ in range(draw.randrange(n))]
+    items = [(k, draw.choice([1, 2, None]), text(4), text(2), None if k == 7 else text(20)) for k in range(60)]
+    d = spark.createDataFrame(items, "item_id int, location int, title array<string>, params array<string>, desc array<string>").repartition(3)
+    q = spark.createDataFrame([(k, draw.choice([1, None]), text(9)) for k in range(7)], "query_id int, location int, tokens array<string>")
+    want = {(r[0], r[1]): r[2:] for r in lexical.score_fields(q, lexical.fit_bm25(d)).collect()}
+    got = {(r[0], r[1]): r[2:] for r in lexical.score_scan(q, d, block=block).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    pairs = spark.createDataFrame([(a, b) for a in range(7) for b in range(0, 60, 3)], "query_id int, item_id int")
+    scored = {(r[0], r[1]): r[2:] for r in lexical.pair_scores(pairs, q, d, block=block).select("query_id", "item_id", "bm25_title", "bm25_params", "bm25_desc").collect()}
+    assert len(scored) == 140 and all(scored[k] == pytest.approx(want.get(k, (0.0, 0.0, 0.0))) for k in scored)
+    glob = lexical.lexical_tours(q, d, 0, 5, block=block)[1].collect()
+    total = {k: w[0] + 0.5 * w[1] + w[2] for k, w in want.items()}
+    best = {a: [b for _, b in sorted((-round(s, 9), b) for (x, b), s in total.items() if x == a)[:5]] for a in range(7)}
+    assert {a: [r.item_id for r in sorted(glob, key=lambda r: r["rank"]) if r.query_id == a] for a in range(7)} == best
+
+
 def test_many_queries_are_dealt_to_tasks(spark, monkeypatch):
     """What tasks pass on does not grow with the items' partitions, nor a task's queries with the block."""
     monkeypatch.setattr(topk, "TASK_QUERIES", 8)
