@@ -128,3 +128,20 @@ def test_mining_sorts_no_pairs_with_their_rankings(spark, monkeypatch):
     monkeypatch.setattr(topk, "materialize", planned)
     plan = QUERIES["hard_negatives"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert made == [1] and "Window" not in plan and not re.search(r"BroadcastExchange.*item_tower|Broadcast\w+Join.*negative_id", plan)
+
+def test_rank_windows_gather_no_rows_by_their_key_alone(spark):
+    plan = QUERIES["rank_windows"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(q#" in plan and not re.search(r"hashpartitioning\(q#\d+L?, \d+\)", plan)
+
+
+def test_value_ranks_equal_windows(spark):
+    draw = random.Random(3)
+    rows = [(k, draw.choice([1, 2, None]), draw.choice([None, 0.0, 1.5, 2.5, 7.0])) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, g int, v double")
+    for r in features.value_ranks(df, "v", ["g"], "p_").collect():
+        own = [v for _, g, v in rows if g == r.g and v is not None]
+        if r.v is None:
+            assert (r.p_min, r.p_dense, r.p_average) == (None, None, None)
+        else:
+            ascending = 1 + sum(v < r.v for v in own) + (own.count(r.v) - 1) / 2
+            assert (r.p_min, r.p_dense, r.p_average, r.p_known, r.p_max) == (1 + sum(v > r.v for v in own), 1 + len({v for v in own if v > r.v}), ascending, len(own), max(own))
