@@ -9,6 +9,7 @@ from millrace.functions import text
 from millrace.operators import clean, logs, mining, split
 from millrace.plans.registry import Tables, query
 from millrace.plans.text_queries import QUERY, TITLE
+from millrace.scratch import materialize
 
 # ---- the click log: orders of customers, joined with their lines and parts ------------------------------------------------
 #: Rows are ordered by row_id, a number that no two lines share.
@@ -117,7 +118,7 @@ def p_microcat_backoff(t: Tables) -> DataFrame:
         SELECT query_id, item_id, rank FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY k, item_id) AS rank FROM m) WHERE rank <= 150""",
 )
 def log_candidates(t: Tables) -> DataFrame:
-    log = click_log(t)
+    log = materialize(click_log(t).select("search_query_norm", "item_id", "item_title_norm", "item_microcat_id", "row_id", "location"), "log")
     texts = log.groupBy("search_query_norm").agg(F.min("location").alias("location"))
     queries = texts.withColumn("query_id", F.substring(F.md5("search_query_norm"), 1, 16))
     items = t.part.select(F.col("p_partkey").alias("item_id"), text.normalize_title("p_name").alias("item_title_norm"), (F.col("p_partkey") % 25).alias("location"), F.col("p_partkey").alias("pos"))

@@ -145,3 +145,11 @@ def test_value_ranks_equal_windows(spark):
         else:
             ascending = 1 + sum(v < r.v for v in own) + (own.count(r.v) - 1) / 2
             assert (r.p_min, r.p_dense, r.p_average, r.p_known, r.p_max) == (1 + sum(v > r.v for v in own), 1 + len({v for v in own if v > r.v}), ascending, len(own), max(own))
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_log_candidates_cut_clicks_and_titles_before_they_meet_queries(spark):
+    """Windows of the texts' clicks and of the titles' items are limited, besides the two over what the queries meet."""
+    assert _plan(QUERIES["log_candidates"](spark, FOLDER)).count("WindowGroupLimit") >= 8
